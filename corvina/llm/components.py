@@ -25,6 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs from one root at most, and no root hangs from another."""
+    seen = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    by = seen.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node that has an edge.
 
@@ -32,16 +39,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ignored, nulls dropped. Nodes without edges don't appear. An empty table gives none.
     """
     a, b = edges.columns[:2]
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()) if (a, b) != ("a", "b") else edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    # a is above b in every edge: each node hangs from smaller ones
     e = materialise(e.filter("a <> b").distinct(), "cc")
-    state = None
     for _ in range(max_rounds):
-        # a is above b in every edge: each node hangs from a smaller one
-        e = materialise(_small_star(materialise(_large_star(e), "cc")), "cc")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        if _settled(e):
             break
-        state = now
+        e = materialise(_small_star(materialise(_large_star(e), "cc")), "cc")
     else:
         raise RuntimeError("components didn't settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
