@@ -148,3 +148,18 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.v, b.v) >= 0.98
+), r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN c ON c.a = vec_id
+"""

@@ -120,3 +120,17 @@ level AS (
 ), e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken FROM e
 """
+
+
+def take_mix(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, all columns as they came, with size, source_size, target and taken.
+
+    Columns of those names that ``docs`` has are replaced. Repeated ids of one source and
+    size are told apart by nothing here: they share the largest ``taken`` among them.
+    """
+    added = ("size", "source_size", "target", "taken")
+    plan = mix(docs).groupBy("doc_id", "source", "size").agg(*[F.max(c).alias(c) for c in added[1:]]).filter("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), *[F.col(c).alias(f"__{c}") for c in added])
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (word_count(F.col("text")) == F.col("__size"))
+    kept = docs.join(plan, same)
+    return kept.select(*[c for c in docs.columns if c not in added], *[F.col(f"__{c}").alias(c) for c in added])
