@@ -139,15 +139,15 @@ def query_lexemes(query: str) -> list[str]:
     return list(dict.fromkeys(w for w, _ in lexemes(query)))
 
 
-@F.pandas_udf(LEXEMES)
-def _analysed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield s.map(lambda t: [{"lexeme": w, "pos": i} for w, i in lexemes(t)])
-
-
 def to_lexemes(c: Column) -> Column:
     """The analysed column: what a text index stores of each row."""
-    return _analysed(c)
+
+    @F.pandas_udf(LEXEMES)
+    def analysed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: [{"lexeme": w, "pos": i} for w, i in lexemes(t)])
+
+    return analysed(c)
 
 
 def matches(lex: Column, wanted: list[str]) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: a bound variable, where a repeated expression inside a lambda would run per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim_ws(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -18,8 +25,8 @@ def strip_markdown(c: Column) -> Column:
 
 def excerpt(c: Column, n: int = 240) -> Column:
     """At most ``n`` characters, cut at the last blank, with an ellipsis where cut."""
-    x = F.regexp_replace(trim_ws(c), r"\s+", " ")
-    return F.when(F.length(x) <= n, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, n), r" [^ ]*$", ""), F.lit("…")))
+    one = F.regexp_replace(trim_ws(c), r"\s+", " ")
+    return let(one, lambda x: F.when(F.length(x) <= n, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, n), r" [^ ]*$", ""), F.lit("…"))))
 
 
 def slug(c: Column) -> Column:
@@ -87,7 +94,6 @@ def title_or_filename(title: Column, filename: Column) -> Column:
 def merge_short(parts: Column, min_chars: int) -> Column:
     """Fold an array of segments: one shorter than ``min_chars`` takes the next after a blank line; the last may stay short."""
     done = F.array().cast("array<string>")
-    start = F.struct(done.alias("done"), F.get(parts, F.lit(0)).alias("acc"))
 
     def step(s: Column, x: Column) -> Column:
         short = F.length(trim_ws(s["acc"])) < min_chars
@@ -96,16 +102,21 @@ def merge_short(parts: Column, min_chars: int) -> Column:
             F.when(short, F.concat(s["acc"], F.lit("\n\n"), x)).otherwise(x).alias("acc"),
         )
 
-    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda s: F.array_append(s["done"], s["acc"]))
-    return F.when(F.size(parts) == 0, done).otherwise(folded)
+    def fold(p: Column) -> Column:
+        start = F.struct(done.alias("done"), F.get(p, F.lit(0)).alias("acc"))
+        folded = F.aggregate(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), start, step, lambda s: F.array_append(s["done"], s["acc"]))
+        return F.when(F.size(p) == 0, done).otherwise(folded)
+
+    return let(parts, fold)
 
 
 def trailing_context(previous: Column, n: int) -> Column:
     """Tail of at most ``n`` characters, begun after its first sentence end where one lies inside."""
-    w0 = trim_ws(previous)
-    tail = F.right(w0, F.lit(n))
-    stop = F.regexp_instr(tail, F.lit("[.?!\n]"))
-    return F.when(F.length(w0) <= n, w0).when((stop > 0) & (stop < F.length(tail)), trim_ws(F.substr(tail, stop + 1))).otherwise(tail)
+    def cut(w0: Column, tail: Column) -> Column:
+        stop = F.regexp_instr(tail, F.lit("[.?!\n]"))
+        return F.when(F.length(w0) <= n, w0).when((stop > 0) & (stop < F.length(tail)), trim_ws(F.substr(tail, stop + 1))).otherwise(tail)
+
+    return let(trim_ws(previous), lambda w0: let(F.right(w0, F.lit(n)), lambda tail: cut(w0, tail)))
 
 
 def rerank_order(answer: Column, candidates: int) -> Column:

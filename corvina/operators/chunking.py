@@ -54,11 +54,18 @@ def is_excluded(title: Column, excluded: tuple[str, ...]) -> Column:
 
 def _segments(lines: Column, starts: Callable[[Column], Column]) -> Column:
     """Group an array of lines: one that ``starts`` holds for begins a segment. Joined, trimmed, blank ones dropped."""
-    n = F.size(lines)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | starts(F.get(lines, i - 1)))
-    ends = F.array_append(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), n + 1)
-    parts = F.zip_with(at, ends, lambda a, b: tx.trim_ws(F.array_join(F.slice(lines, a, b - a), "\n")))
-    return F.filter(parts, lambda s: s != "")
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | starts(F.get(x, i - 1)))
+        parts = _between(at, n + 1, lambda a, b: tx.trim_ws(F.array_join(F.slice(x, a, b - a), "\n")))
+        return F.filter(parts, lambda s: s != "")
+
+    return tx.let(lines, cut)
+
+
+def _between(at: Column, end: Column, piece: Callable[[Column, Column], Column]) -> Column:
+    """``piece(a, b)`` for each start and the next one, the last up to ``end``."""
+    return tx.let(at, lambda s: F.zip_with(s, F.array_append(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), end), piece))
 
 
 def split_at_level(markdown: Column, level: Column | int, excluded: tuple[str, ...] = ()) -> Column:
@@ -97,19 +104,18 @@ def split_headings(df: DataFrame, markdown: str = "markdown", preferred: int = 2
 
 def heuristic_segments(page: Column, b: Boundary) -> Column:
     """Segments of one page of plain text, begun at lines that look like headings in their context."""
-    lines = tx.lines(tx.trim_ws(page))
-    n = F.size(lines)
     opts = {"max_title": b.max_title, "numbered": b.numbered, "excluded": b.excluded}
 
-    def starts(i: Column) -> Column:
-        here = tx.trim_ws(F.get(lines, i))
-        # a trimmed page begins with its first content, which needs no context
-        return F.when(i == 0, tx.could_be_heading(here, **opts)).otherwise(tx.heading_in_context(here, F.get(lines, i - 1), **opts))
+    def cut(x: Column) -> Column:
+        def starts(i: Column) -> Column:
+            here = tx.trim_ws(F.get(x, i))
+            # a trimmed page begins with its first content, which needs no context
+            return F.when(i == 0, tx.could_be_heading(here, **opts)).otherwise(tx.heading_in_context(here, F.get(x, i - 1), **opts))
+
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0))), lambda i: (i == 0) | starts(i))
+        return F.filter(_between(at, F.size(x), lambda a, e: tx.trim_ws(F.array_join(F.slice(x, a + 1, e - a), "\n"))), lambda s: s != "")
 
-    at = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | starts(i))
-    ends = F.array_append(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), n)
-    parts = F.zip_with(at, ends, lambda a, e: tx.trim_ws(F.array_join(F.slice(lines, a + 1, e - a), "\n")))
-    return F.filter(parts, lambda s: s != "")
+    return tx.let(tx.lines(tx.trim_ws(page)), cut)
 
 
 def split_heuristic(df: DataFrame, pages: str = "pages", boundary: Boundary = Boundary(), out: str = "chunks") -> DataFrame:
@@ -147,7 +153,7 @@ def token_chunks(c: Column, size: int = 600) -> Column:
         for s in rows:
             yield s.map(lambda t: token_split(t, size))
 
-    return split(c)
+    return split.asNondeterministic()(c)
 
 
 def overlap(chunks: Column, n: int = 200) -> Column:
@@ -155,11 +161,11 @@ def overlap(chunks: Column, n: int = 200) -> Column:
     if n <= 0:
         return chunks
 
-    def led(x: Column, i: Column) -> Column:
-        tail = tx.trailing_context(F.get(chunks, i - 1), n)
-        return F.when((i == 0) | (tail == ""), x).otherwise(F.concat(tail, F.lit(" "), x))
+    def led(all_: Column, x: Column, i: Column) -> Column:
+        joined = lambda tail: F.when((i == 0) | (tail == ""), x).otherwise(F.concat(tail, F.lit(" "), x))
+        return tx.let(F.coalesce(tx.trailing_context(F.get(all_, i - 1), n), F.lit("")), joined)
 
-    return F.transform(chunks, led)
+    return tx.let(chunks, lambda all_: F.transform(all_, lambda x, i: led(all_, x, i)))
 
 
 def _tail(previous: str, n: int) -> str:
@@ -171,6 +177,11 @@ def _tail(previous: str, n: int) -> str:
     return w[stop.end() :].strip() if stop and stop.end() < len(w) else w
 
 
+def _once(name: str) -> Column:
+    """The column, referred to twice so that the optimizer keeps its projection apart: Python's input then holds no lambda."""
+    return F.when(F.col(name).isNotNull(), F.col(name))
+
+
 def cap_structural(chunks: Column, max_chars: int = 4000, size: int = 600, n: int = 200) -> Column:
     """Chunks over ``max_chars`` split by tokens with overlap; every piece keeps the heading line."""
 
@@ -188,7 +199,7 @@ def cap_structural(chunks: Column, max_chars: int = 4000, size: int = 600, n: in
         for s in rows:
             yield s.map(lambda a: [y for x in a for y in capped(x)] if a is not None else None)
 
-    return cap(chunks)
+    return cap.asNondeterministic()(chunks)  # so that no copy of it lands in a filter
 
 
 def cap_semantic(chunks: Column, max_chars: int = 4000, size: int = 600) -> Column:
@@ -199,7 +210,7 @@ def cap_semantic(chunks: Column, max_chars: int = 4000, size: int = 600) -> Colu
         for s in rows:
             yield s.map(lambda a: [y for x in a for y in ([x] if len(x) <= max_chars else token_split(x, size))] if a is not None else None)
 
-    return cap(chunks)
+    return cap.asNondeterministic()(chunks)  # so that no copy of it lands in a filter
 
 
 def split_structural(df: DataFrame, variant: str = "GENERIC", markdown: str = "markdown", pages: str = "pages", out: str = "chunks") -> DataFrame:
@@ -208,7 +219,8 @@ def split_structural(df: DataFrame, variant: str = "GENERIC", markdown: str = "m
     df = split_headings(df, markdown, b.level, b.min_chars, b.excluded, "__md")
     df = split_heuristic(df, pages, b, "__lines")
     picked = F.when(F.size("__md") >= 3, F.col("__md")).otherwise(F.col("__lines"))
-    return df.withColumn(out, cap_structural(picked, b.max_chars)).drop("__md", "__lines")
+    df = df.withColumn("__pre", picked).drop("__md", "__lines")
+    return df.withColumn(out, cap_structural(_once("__pre"), b.max_chars)).drop("__pre")
 
 
 # -- meaning ----------------------------------------------------------------------------------
@@ -242,7 +254,7 @@ def embed_column(c: Column, embed: Callable[[str], list[float]] | None = None) -
 
 def windows(paragraphs: Column, w: int) -> Column:
     """Each paragraph joined with up to ``w`` on either side."""
-    return F.transform(paragraphs, lambda _, i: F.array_join(F.slice(paragraphs, F.greatest(i - w, F.lit(0)) + 1, F.least(i, F.lit(w)) + 1 + w), " "))
+    return tx.let(paragraphs, lambda p: F.transform(p, lambda _, i: F.array_join(F.slice(p, F.greatest(i - w, F.lit(0)) + 1, F.least(i, F.lit(w)) + 1 + w), " ")))
 
 
 def distances(embeddings: Column) -> Column:
@@ -254,10 +266,12 @@ def distances(embeddings: Column) -> Column:
 
 def group_at_breaks(paragraphs: Column, gaps: Column, threshold: Column) -> Column:
     """Paragraphs joined by blank lines; a segment ends after each gap above the threshold."""
-    n = F.size(paragraphs)
-    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | F.coalesce(F.get(gaps, i - 2) > threshold, F.lit(False)))
-    ends = F.array_append(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), n + 1)
-    return F.zip_with(at, ends, lambda a, b: F.array_join(F.slice(paragraphs, a, b - a), "\n\n"))
+    def cut(p: Column, g: Column) -> Column:
+        n = F.size(p)
+        at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | F.coalesce(F.get(g, i - 2) > threshold, F.lit(False)))
+        return _between(at, n + 1, lambda a, b: F.array_join(F.slice(p, a, b - a), "\n\n"))
+
+    return tx.let(paragraphs, lambda p: tx.let(gaps, lambda g: cut(p, g)))
 
 
 def split_semantic(df: DataFrame, key: str, text: str = "markdown", embed: Callable[[str], list[float]] | None = None, config: Semantic = Semantic(), out: str = "chunks") -> DataFrame:
@@ -275,7 +289,8 @@ def split_semantic(df: DataFrame, key: str, text: str = "markdown", embed: Calla
     df = df.join(per, key, "left").withColumn("__t", vectors.nearest_rank(F.col("__d"), config.percentile))
     grouped = tx.merge_short(group_at_breaks(F.col("__p"), F.col("__d"), F.col("__t")), config.min_chars)
     whole = F.when(F.size("__p") == 0, F.array().cast(STRINGS)).otherwise(F.array(F.array_join("__p", "\n\n")))
-    return df.withColumn("__c", F.when(F.size("__p") < 3, whole).otherwise(grouped)).withColumn(out, cap_semantic(F.col("__c"), config.max_chars)).drop("__p", "__d", "__t", "__c")
+    df = df.withColumn("__c", F.when(F.size("__p") < 3, whole).otherwise(grouped)).drop("__p", "__d", "__t")
+    return df.withColumn(out, cap_semantic(_once("__c"), config.max_chars)).drop("__c")
 
 
 def chunk_documents(df: DataFrame, options: Options = Options(), embed: Callable[[str], list[float]] | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def section_ranges(section: DataFrame, page_height: int) -> DataFrame:
 
     A section ends where the next begins, the last on its own page.
     """
-    order = Window.partitionBy("doc_id").orderBy("section_no")
+    order = Window.partitionBy("doc_id").orderBy("section_no", "page", "position")
     s = section.withColumn("to_page", F.lead("page").over(order)).withColumn("to_pos", F.coalesce(F.lead("position").over(order), F.lit(0)))
     s = s.withColumn("last", F.when(F.col("to_page") >= F.col("page"), F.col("to_page")).otherwise(F.col("page"))).filter("page >= 1")
     p = s.select("doc_id", "section_no", F.col("page").alias("first"), "last", "position", "to_pos", F.explode(F.sequence("page", "last")).alias("page"))
