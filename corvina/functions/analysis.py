@@ -205,7 +205,7 @@ def headline(text: str | None, wanted: list[str], most: int = 35, least: int = 1
     hit = [any(stem(w) in want for w in _TOKEN.findall(x.lower())) for x in words]
     best, at, inside = -1, 0, sum(hit[:most])
     for i in range(max(1, len(words) - most + 1)):
-        if inside > best and (not any(hit) or hit[i]):
+        if inside > best:
             best, at = inside, i
         if i + most < len(words):
             inside += hit[i + most] - hit[i]

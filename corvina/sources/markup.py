@@ -40,13 +40,14 @@ class _Tree(HTMLParser):
         self.open = [self.root]
 
     def _close(self, tags: set[str], fence: set[str]) -> None:
+        at = None
         for i in range(len(self.open) - 1, 0, -1):
-            t = self.open[i].tag
-            if t in tags:
-                del self.open[i:]
-                return
-            if t in fence:
-                return
+            if self.open[i].tag in fence:
+                break
+            if self.open[i].tag in tags:
+                at = i
+        if at is not None:
+            del self.open[at:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
