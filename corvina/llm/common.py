@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,3 +108,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], max_ro
         .filter(F.col("__run") <= max_chars)
         .drop("__run")
     )
+
+
+def fit_on_executor(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:
+    """``fit(rows)`` run by one task over the bounded ``sample``; only what it returns comes to the driver.
+
+    Rows are sorted first, so the result doesn't depend on their order; a lost executor
+    costs a rerun of that task. An empty sample is fitted too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=repr)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    got = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])

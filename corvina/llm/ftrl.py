@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,7 +44,7 @@ class Ftrl:
         return self._weights(np.arange(self.size + 1))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, epochs: int, seed: int = 7, **options: float) -> np.ndarray:
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, epochs: int, seed: int = 7, **options: float) -> np.ndarray:
     """Weights (the last is the bias) after ``epochs`` passes in a seeded order. One class alone gives its bias only."""
     model, order = Ftrl(size, **options), np.random.default_rng(seed)
     for _ in range(epochs):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import held_out, table
+from .common import fit_on_executor, held_out, table
 
 BITS = 16
 NGRAM = 4
@@ -135,10 +135,8 @@ def fit_languages(docs: DataFrame, per_language: int = 600, max_doc_chars: int =
         .filter(F.col("key") <= F.col("cut"))
         .dropDuplicates(["lang", "key"])
         .select("lang", "text")
-        .orderBy("lang", "text")
-        .toArrow()
     )
-    return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
+    return fit_on_executor(rows, lambda got: train([r[1] for r in got], [r[0] for r in got]))
 
 
 def language_column(spark: SparkSession, model: Languages, text: str = "text"):

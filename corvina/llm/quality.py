@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import held_out, labelled_sample, table
+from .common import fit_on_executor, held_out, labelled_sample, table
 from .ftrl import fit, sigmoid, slots
 
 BITS = 18
@@ -67,8 +67,17 @@ def score(text: str | None, weights: np.ndarray) -> float:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 24_000_000, max_doc_chars: int = 200_000) -> np.ndarray:
     """Weights fitted on the bounded labelled sample (see ``labelled_sample``)."""
-    got = labelled_sample(docs, labels, ["quality"], max_rows, max_chars, max_doc_chars).orderBy("doc_id", F.xxhash64("text")).toArrow()
-    return train(got["text"].to_pylist(), np.array(got["quality"].to_pylist(), float))
+    sample = labelled_sample(docs, labels, ["quality"], max_rows, max_chars, max_doc_chars).select("doc_id", "text", "quality")
+
+    def fit_rows(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        w = train([r[1] for r in rows], np.array([r[2] for r in rows], float))
+        some = np.flatnonzero(w)
+        return some, w[some]
+
+    weights = np.zeros((1 << BITS) + 1)
+    some, values = fit_on_executor(sample, fit_rows)
+    weights[some] = values
+    return weights
 
 
 def score_quality(docs: DataFrame, weights: np.ndarray, column: str = "quality_score") -> DataFrame:

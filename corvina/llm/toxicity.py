@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import held_out, labelled_sample, table
+from .common import fit_on_executor, held_out, labelled_sample, table
 from .ftrl import fit, sigmoid, slots
 
 BITS = 18
@@ -70,27 +70,38 @@ def probabilities(f: np.ndarray, chain: Chain) -> list[float]:
 def train_chain(texts: list[str | None], labels: np.ndarray, folds: int = FOLDS, epochs: int = 2) -> Chain:
     """``labels`` has a column per link. A link without a positive row predicts about none."""
     size, k = 1 << BITS, labels.shape[1]
-    rows = [features(t) for t in texts]
+    rows = [features(t).astype(np.int32) for t in texts]
     fold = np.random.default_rng(3).permutation(len(rows)) % folds
     opts = {"alpha": 0.3, "l1": 3.0, "l2": 0.1}
     words, earlier, out_of_fold = np.zeros((size + 1, k)), np.zeros((k, k)), np.zeros((len(rows), 0))
 
-    def with_earlier(i: int) -> tuple[np.ndarray, np.ndarray]:
-        p = out_of_fold[i]
-        return np.r_[rows[i], np.arange(size, size + len(p))], np.r_[np.ones(len(rows[i])), p]
+    class WithEarlier:
+        """Examples made as they are asked for: a text's slots and, after them, its earlier probabilities."""
+
+        def __init__(self, which: np.ndarray) -> None:
+            self.which = which
+
+        def __len__(self) -> int:
+            return len(self.which)
+
+        def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+            i = self.which[k]
+            p = out_of_fold[i]
+            return np.r_[rows[i], np.arange(size, size + len(p))], np.r_[np.ones(len(rows[i])), p]
 
     for j in range(k):
         wide = size + j
-        full = [with_earlier(i) for i in range(len(rows))]
+        full = WithEarlier(np.arange(len(rows)))
         w = fit(full, labels[:, j], wide, epochs, **opts)
         words[:size, j], words[size, j], earlier[j, :j] = w[:size], w[-1], w[size:-1]
         if j + 1 < k:
             p = np.zeros(len(rows))
             for held in range(folds):
                 on = np.flatnonzero(fold != held)
-                w = fit([full[i] for i in on], labels[on, j], wide, epochs, **opts)
+                w = fit(WithEarlier(on), labels[on, j], wide, epochs, **opts)
                 for i in np.flatnonzero(fold == held):
-                    p[i] = sigmoid(float(w[full[i][0]] @ full[i][1]) + w[-1])
+                    slot, x = full[i]
+                    p[i] = sigmoid(float(w[slot] @ x) + w[-1])
             out_of_fold = np.c_[out_of_fold, p]
     return Chain(words, earlier)
 
@@ -106,9 +117,18 @@ def silver(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 7000, max_chars: int = 28_000_000, max_doc_chars: int = 200_000) -> Chain:
     """A chain fitted on the bounded labelled sample (see ``labelled_sample``)."""
-    got = labelled_sample(docs, labels, ["toxic"], max_rows, max_chars, max_doc_chars).orderBy("doc_id", F.xxhash64("text")).toArrow()
-    texts = got["text"].to_pylist()
-    return train_chain(texts, silver(texts, np.array(got["toxic"].to_pylist(), float)))
+    sample = labelled_sample(docs, labels, ["toxic"], max_rows, max_chars, max_doc_chars).select("doc_id", "text", "toxic")
+
+    def fit_rows(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [r[1] for r in rows]
+        chain = train_chain(texts, silver(texts, np.array([r[2] for r in rows], float)))
+        some = np.flatnonzero(chain.words.any(1))
+        return some, chain.words[some], chain.earlier
+
+    some, values, earlier = fit_on_executor(sample, fit_rows)
+    words = np.zeros(((1 << BITS) + 1, len(LINKS)))
+    words[some] = values
+    return Chain(words, earlier)
 
 
 def toxicity_column(spark: SparkSession, chain: Chain, text: str = "text"):
