@@ -70,6 +70,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def row_key(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes, ``__h1`` and ``__h2``, of all columns but maps: only rows equal in those share both, whatever their id."""
+    cells = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(*cells).alias("__h1"), F.xxhash64(F.lit("row"), *cells).alias("__h2")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, row_key, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -106,20 +106,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     repeated rows and ids each get their row; items of equal words are sought once and
     all counted; an empty benchmark hits nothing. Other columns aren't looked at.
     """
+    return _report(docs.select("doc_id", "text"), benchmark)
+
+
+def _report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contamination`` with every column of ``docs`` but the text in place of doc_id."""
+    own = [c for c in docs.columns if c != "text"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
     items = items.filter((F.size("w") > 0) & F.col("item").isNotNull()).distinct()
     items = materialise(items.withColumn("class", F.sha2(F.array_join("w", " "), 256)), "items")
     marks = materialise(_marks(items.groupBy("class").agg(F.first("w").alias("w"))), "marks")
     kinds = sorted(r[0] for r in marks.select("k").distinct().collect())
 
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    d = docs.select(*own, words(F.col("text")).alias("w"))
     candidates = []
     for k in kinds:
         slots, g, n = _lookup(marks.filter(F.col("k") == k).select("h")), f"g{k}".replace("-", "_"), abs(k)
         d = d.withColumn(g, _gram_hashes("w", n))
         candidates.append(_candidates(g, k, slots))
     empty = F.array().cast("array<struct<k:int,h:bigint,i:int,around:array<string>,off:int>>")
-    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").alias("n_words"), F.concat(empty, *candidates).alias("c"))
+    d = d.select(F.monotonically_increasing_id().alias("row"), *own, F.size("w").alias("n_words"), F.concat(empty, *candidates).alias("c"))
     d = materialise(d, "candidates")
 
     c = d.select("row", F.explode("c").alias("c")).select("row", "c.*")
@@ -137,10 +143,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     which = windows.select("row", "class").distinct().join(items.select("class", "item"), "class").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("x"))
     which = which.select("row", F.size("x").alias("n_items"), F.sha2(F.array_join("x", ","), 256).alias("items_sha256"))
-    out = d.select("row", "doc_id", "n_words").join(hit, "row", "left").join(which, "row", "left")
+    out = d.select("row", *own, "n_words").join(hit, "row", "left").join(which, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id",
+        *own,
         F.col("n_words").cast("long").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -176,6 +182,6 @@ FROM dw LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a hit, all columns as they came. Of repeated ids, one hit drops all."""
-    hit = contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of ``docs`` without a hit, all columns as they came. Rows go by their own text, whatever their id."""
+    hit = _report(docs.select("text", *row_key(docs)), benchmark).filter("contaminated").select("__h1", "__h2").distinct()
+    return docs.select("*", *row_key(docs)).join(hit, ["__h1", "__h2"], "left_anti").select(docs.columns)

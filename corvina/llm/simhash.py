@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as bk
-from .common import materialise, table
+from .common import materialise, row_key, table
 from .components import connected_components
 
 SHINGLE = 4
@@ -140,6 +140,13 @@ def link_fingerprints(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return edges.union(third.select("a", "b"))
 
 
+def _rooted(fps: DataFrame, limit: int) -> DataFrame:
+    """``fps``, a row for each fingerprint, with ``root``, the smallest fingerprint that links lead to."""
+    parts = connected_components(link_fingerprints(fps, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    rooted = fps.join(parts, "fp", "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+    return materialise(rooted, "rooted")
+
+
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``docs``.
 
@@ -148,25 +155,25 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     included. Null ids never name a component unless it has no other.
     """
     d = materialise(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
-    fps = d.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = connected_components(link_fingerprints(fps, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = fps.join(parts, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = materialise(rooted, "rooted")
+    rooted = _rooted(d.groupBy("fp").agg(F.min("doc_id").alias("least")), limit)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return d.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row of each component, all columns as they came: that of the smallest doc_id (of repeated ids, one row)."""
-    near = near_duplicates(docs, limit)
-    kept = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if _repeats(docs) else left
-
+    """One row of each component, all columns as they came: that of the smallest doc_id, null ids last.
 
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    Rows are told apart by all their columns, so null and repeated ids stay as often as
+    their components differ; of a component's rows of one id, that of the least hash stays.
+    """
+    d = materialise(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp"), *row_key(docs)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h1", "__h2")
+    rooted = _rooted(d.groupBy("fp").agg(F.min(first).alias("first")), limit)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__h1", "first.__h2")
+    left = docs.select("*", *row_key(docs)).join(kept, ["__h1", "__h2"], "left_semi")
+    equal_rows = not d.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return (left.dropDuplicates(["__h1", "__h2"]) if equal_rows else left).select(docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,20 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_stages_keep_rows_by_text_not_by_id(spark):
+    unlike = [prose(3000 + i, 60) for i in range(10)]
+    rows = [(None, t, "en", "s", None, 9, "k") for t in unlike]  # null ids, unlike texts
+    rows += [(1, prose(1, 60), "en", "s", None, 9, "k"), (2, prose(1, 60), "en", "s", None, 9, "k"), (2, prose(2, 60), "en", "s", None, 9, "k")]  # an id with a copy and a text of its own
+    rows += [(3, prose(4, 60), "en", s, None, 9, "k") for s in ("t", "u", "u")] + [(None, prose(1, 60), "en", "s", None, 9, "k")]
+    d = spark.createDataFrame(rows, DOCS)
+    want = sorted([(t, None) for t in unlike] + [(prose(1, 60), 1), (prose(2, 60), 2), (prose(4, 60), 3)])
+    a = simhash.drop_near_duplicates(d)
+    assert a.columns == d.columns and sorted((r["text"], r["doc_id"]) for r in a.collect()) == want
+    assert sorted(map(str, a.collect())) == sorted(map(str, simhash.drop_near_duplicates(d.repartition(5)).collect()))
+    b = decontam.drop_contaminated(d, spark.createDataFrame([(1, unlike[0]), (2, prose(2, 60))], "item_id long, text string"))
+    assert b.columns == d.columns and sorted((r["text"], str(r["doc_id"])) for r in b.collect()) == sorted((r[1], str(r[0])) for r in rows if r[1] not in (unlike[0], prose(2, 60)))
+
+
 def test_components_of_a_long_path(spark):
     n = 300
     order = np.random.default_rng(0).permutation(n).tolist()
