@@ -102,7 +102,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A window is WINDOW neighbouring words of an item; an item of fewer, but not none, is
     one window. n_hit counts the document's words inside any occurrence of a window,
-    n_items the items with such windows. Null texts have no words and hit nothing;
+    n_items the items with such windows; those of null item_id are sought too, count as
+    one item together and have no place in items_sha256. Null texts have no words and hit nothing;
     repeated rows and ids each get their row; items of equal words are sought once and
     all counted; an empty benchmark hits nothing. Other columns aren't looked at.
     """
@@ -113,7 +114,7 @@ def _report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``contamination`` with every column of ``docs`` but the text in place of doc_id."""
     own = [c for c in docs.columns if c != "text"]
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w"))
-    items = items.filter((F.size("w") > 0) & F.col("item").isNotNull()).distinct()
+    items = items.filter(F.size("w") > 0).distinct()
     items = materialise(items.withColumn("class", F.sha2(F.array_join("w", " "), 256)), "items")
     marks = materialise(_marks(items.groupBy("class").agg(F.first("w").alias("w"))), "marks")
     kinds = sorted(r[0] for r in marks.select("k").distinct().collect())
@@ -141,8 +142,10 @@ def _report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = windows.groupBy("row").agg(F.collect_set(F.struct("start", "m")).alias("x")).select(
         "row", F.size(F.array_distinct(F.flatten(F.transform("x", lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1))))).alias("n_hit")
     )
-    which = windows.select("row", "class").distinct().join(items.select("class", "item"), "class").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("x"))
-    which = which.select("row", F.size("x").alias("n_items"), F.sha2(F.array_join("x", ","), 256).alias("items_sha256"))
+    which = windows.select("row", "class").distinct().join(items.select("class", "item"), "class").groupBy("row").agg(
+        F.sort_array(F.collect_set("item")).alias("x"), F.max(F.col("item").isNull().cast("int")).alias("unnamed")
+    )
+    which = which.select("row", (F.size("x") + F.col("unnamed")).alias("n_items"), F.sha2(F.array_join("x", ","), 256).alias("items_sha256"))
     out = d.select("row", *own, "n_words").join(hit, "row", "left").join(which, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(

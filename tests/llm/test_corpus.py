@@ -95,6 +95,22 @@ def test_contamination_matches_brute_force(spark):
     assert decontam.drop_contaminated(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).columns == [x.split()[0] for x in DOCS.split(", ")]
 
 
+def test_contamination_seeks_items_without_id(spark):
+    import duckdb
+
+    items = [(None, prose(1, 30)), (None, "lone pair"), (7, prose(2, 30)), (7, "zeta9"), (None, None), (None, "!!")]
+    texts = [prose(9, 20) + " " + prose(1, 30), "a lone pair here", prose(1, 30) + " lone pair " + prose(2, 30), prose(8, 20), None]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontam.contamination(docs, bench).collect()))
+    assert [r[2:4] for r in got] == [(30, 1), (2, 1), (62, 2), (0, 0), (0, 0)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert got == sorted(con.execute(decontam.OP5_SQL).fetchall())
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()} == {3, 4}
+
+
 # -- near duplicates
 
 
