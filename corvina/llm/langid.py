@@ -61,27 +61,26 @@ def _em(like: np.ndarray, count: np.ndarray, theta: np.ndarray, rounds: int) ->
     return theta, float(count @ np.log(like @ theta))
 
 
-def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0, most: int = 4) -> tuple[str, float, list[str], list[float]]:
-    """(language, its share, the language set, the set's shares), largest share first.
-
-    A null text or one without a letter is ``und`` with share 0 and an empty set, as is
-    any text where no language has been learned. Ties go to the first name in order.
-    """
+def _counted(text: str | None, model: Languages) -> tuple[np.ndarray, np.ndarray] | None:
+    """Counts of a text's n-grams and their rows of the model; none for a text that has no language."""
     if not text or not model.names or not _HAS_LETTER.search(text):
-        return UNDETERMINED, 0.0, [], []
+        return None
     g = np.sort(grams(text))
-    if not len(g):  # a text of single letters: all languages are alike
-        return model.names[0], 1.0 / len(model.names), [model.names[0]], [1.0]
-    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, int)
     count = np.diff(np.r_[first, len(g)]) / NGRAM  # neighbouring n-grams share letters: they count as one
-    logp = model.logp[g[first]]
+    return count, model.logp[g[first]]
+
+
+def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen columns of ``logp``, at least one n-gram given, and their shares."""
     single = count @ logp
     best = int(np.argmax(single))
     chosen, share, value = np.array([best]), np.ones(1), float(single[best])
-    if len(model.names) > 1:
+    n = logp.shape[1]
+    if n > 1:
         shift = logp.max(1)
         like, base = np.exp(logp - shift[:, None]), float(count @ shift)
-        theta, _ = _em(like, count, np.full(len(model.names), 1.0 / len(model.names)), rounds)
+        theta, _ = _em(like, count, np.full(n, 1.0 / n), rounds)
         order = np.argsort(-theta, kind="stable")
         cost = penalty * np.log(1.0 + count.sum())
         for m in range(2, min(most, len(order)) + 1):
@@ -91,11 +90,50 @@ def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float =
             t, ll = _em(like[:, part], count, theta[part] / theta[part].sum(), rounds)
             if ll + base - cost * (m - 1) > value:
                 value, chosen, share = ll + base - cost * (m - 1), part, t
+    return chosen, share
+
+
+def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0, most: int = 4) -> tuple[str, float, list[str], list[float]]:
+    """(language, its share, the language set, the set's shares), largest share first.
+
+    A null text or one without a letter is ``und`` with share 0 and an empty set, as is
+    any text where no language has been learned. Ties go to the first name in order.
+    """
+    got = _counted(text, model)
+    if got is None:
+        return UNDETERMINED, 0.0, [], []
+    count, logp = got
+    if not len(count):  # a text of single letters: all languages are alike
+        return model.names[0], 1.0 / len(model.names), [model.names[0]], [1.0]
+    chosen, share = _mixture(count, logp, rounds, penalty, most)
     by = np.argsort(-share, kind="stable")
     names, shares = [model.names[i] for i in chosen[by]], share[by].tolist()
     return names[0], min(1.0, max(0.0, shares[0])), names, shares
 
 
+def standing(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0) -> float:
+    """The largest share that a language holds of the whole text, what no learned language explains counted in.
+
+    All languages and a background where each n-gram is as likely as any other share the
+    text. The background pays the penalty of a language: where it doesn't gain as much,
+    the languages share all. 0 for ``und``; a text of single letters is shared evenly.
+    """
+    got = _counted(text, model)
+    if got is None:
+        return 0.0
+    count, logp = got
+    k = len(model.names)
+    if not len(count):
+        return 1.0 / k
+    chosen, share = _mixture(count, logp, rounds, penalty, k)
+    with_flat = np.c_[logp[:, chosen], np.full(len(count), -BITS * np.log(2.0))]
+    shift = with_flat.max(1)
+    like = np.exp(with_flat - shift[:, None])
+    known, ll = _em(like, count, np.r_[share, 1.0] / 2.0, 2 * rounds)
+    before = float(count @ np.log(like[:, :-1] @ share))
+    return float((known[:-1] if ll - before > penalty * np.log(1.0 + count.sum()) else share).max())
+
+
 def train(texts: list[str], langs: list[str], passes: int = 2, smooth: float = 0.5) -> Languages:
     """n-gram tables per language; after the first pass, texts that the model places elsewhere don't count."""
     names = tuple(sorted(set(langs)))
@@ -155,12 +193,19 @@ def language_column(spark: SparkSession, model: Languages, text: str = "text"):
 
 
 def reject_undetermined(docs: DataFrame, model: Languages, least_share: float = 0.25) -> DataFrame:
-    """The rows of ``docs`` where one language holds at least ``least_share``, all columns as they came.
+    """The rows of ``docs`` where one language holds at least ``least_share`` of the text, all columns as they came.
 
-    Null texts, texts without a letter and those where no language stands out go.
+    Null texts and texts without a letter go, and those where no language stands out:
+    gibberish, texts of no learned language, even mixtures of more than 1 / ``least_share``.
     """
-    found = language_column(docs.sparkSession, model)
-    return docs.filter(found["share"] >= least_share)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def stands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([standing(t, shared.value) for t in texts.to_pylist()], pa.float64())
+
+    return docs.filter(stands(F.col("text")) >= least_share)
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

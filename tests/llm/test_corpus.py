@@ -232,6 +232,23 @@ def test_language(spark):
     assert {r["doc_id"] for r in langid.reject_undetermined(d, m).collect()} >= set(range(120)) and langid.fit_languages(d.limit(0)).names == ()
 
 
+def test_language_stage_rejects_mixtures_and_gibberish(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    word = lambda: "".join(rng.choice(letters, rng.integers(4, 9)))
+    lexicon = {k: [word() for _ in range(150)] for k in ("aa", "bb", "cc", "dd", "ee", "ff")}
+    make = lambda k, n: " ".join(rng.choice(lexicon[k], n))
+    clean = [(i, make(k, n), k) for i, (k, n) in enumerate((k, n) for k in sorted(lexicon) for n in [1, 3, 10, *[120] * 30])]
+    mixed = " ".join(make(k, 100) for k in sorted(lexicon))
+    gibberish = " ".join(word() for _ in range(200))
+    d = spark.createDataFrame(clean, "doc_id long, text string, lang string")
+    m = langid.fit_languages(d)
+    more = [(1000, mixed, None), (1001, gibberish, None), (1003, make("aa", 60) + " " + make("bb", 60), None), (1004, None, None), (1005, "12 !", None)]
+    kept = langid.reject_undetermined(d.union(spark.createDataFrame(more, d.schema)), m)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in clean} | {1003}
+    assert langid.standing("a b", m) == pytest.approx(1 / 6) and langid.standing(None, m) == 0.0
+
+
 def test_tokens_at_every_prefix(spark):
     c = tokens.PieceCounter(tokens.default_path())
     exact = lambda t: len(c.tokenizer.encode(t or "", add_special_tokens=False).ids)
