@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,22 +129,30 @@ def split_heuristic(df: DataFrame, pages: str = "pages", boundary: Boundary = Bo
 # -- tokens and overlap -----------------------------------------------------------------------
 
 
-def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int = 10_000, tokens: Callable[[str], list[str]] | None = None) -> list[str]:
-    """Chunks of at most ``size`` tokens, cut back to the last sentence end beyond ``min_chars``; crumbs are dropped."""
-    left = text or ""
+def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int | None = None, tokens: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Chunks of at most ``size`` tokens, cut back to the last sentence end beyond ``min_chars``; crumbs are dropped.
+
+    Goes on until the text ends, unless ``most`` is given: what is left after so many
+    chunks is then one more, of any length.
+    """
+    text = text or ""
+    end, at = len(text.rstrip()), 0
     out: list[str] = []
-    cut_tokens = tokens or _TOKENS.findall
-    while left.strip() and len(out) < most:
-        piece = "".join(cut_tokens(left)[:size])
+    while at < end:
+        if most is not None and len(out) >= most:
+            if len(text[at:].strip()) > min_keep:
+                out.append(text[at:].strip())
+            break
+        piece = "".join(tokens(text[at:])[:size] if tokens else (m.group() for m in islice(_TOKENS.finditer(text, at), size)))
         if not piece:
             break
-        if len(piece) < len(left.rstrip()):
+        if len(piece) < end - at:
             stop = max(piece.rfind(s) for s in ".?!\n")
             if stop > min_chars:
                 piece = piece[: stop + 1]
         if len(piece.strip()) > min_keep:
             out.append(piece.strip())
-        left = left[len(piece) :]
+        at += len(piece)
     return out
 
 

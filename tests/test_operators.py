@@ -53,6 +53,18 @@ def test_token_split_keeps_all_words():
     assert chunking.token_split("") == [] and chunking.token_split("a b") == []
 
 
+def test_token_split_goes_on_to_the_end(spark):
+    text = " ".join(f"longword{i}" for i in range(10_050))
+    got = chunking.token_split(text, 1)
+    assert len(got) == 10_050 and got[-1] == "longword10049"
+    words = text.split()
+    assert chunking.token_split(text, 2, most=3) == [" ".join(words[i : i + 2]) for i in (0, 2, 4)] + [" ".join(words[6:])]
+    df = spark.createDataFrame([([text],)], "c array<string>")
+    for capped in (chunking.cap_semantic(F.col("c"), 4000, 1), chunking.cap_structural(F.col("c"), 4000, 1)):
+        pieces = df.select(capped.alias("c")).first()["c"]
+        assert len(pieces) == 10_050 and pieces[-1].endswith("longword10049")
+
+
 def test_rerank():
     chat = lambda s, u: "[2, 0]"
     assert answers.rerank("q", ["a", "b", "c"], 2, str, chat) == ["c", "a"]
