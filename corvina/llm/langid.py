@@ -71,8 +71,8 @@ def _counted(text: str | None, model: Languages) -> tuple[np.ndarray, np.ndarray
     return count, model.logp[g[first]]
 
 
-def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen columns of ``logp``, at least one n-gram given, and their shares."""
+def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen columns of ``logp``, at least one n-gram given, and their shares: up to every language of share 0.02."""
     single = count @ logp
     best = int(np.argmax(single))
     chosen, share, value = np.array([best]), np.ones(1), float(single[best])
@@ -83,7 +83,7 @@ def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float, m
         theta, _ = _em(like, count, np.full(n, 1.0 / n), rounds)
         order = np.argsort(-theta, kind="stable")
         cost = penalty * np.log(1.0 + count.sum())
-        for m in range(2, min(most, len(order)) + 1):
+        for m in range(2, n + 1):
             if theta[order[m - 1]] < 0.02:
                 break
             part = order[:m]
@@ -93,7 +93,7 @@ def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float, m
     return chosen, share
 
 
-def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0, most: int = 4) -> tuple[str, float, list[str], list[float]]:
+def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0) -> tuple[str, float, list[str], list[float]]:
     """(language, its share, the language set, the set's shares), largest share first.
 
     A null text or one without a letter is ``und`` with share 0 and an empty set, as is
@@ -105,7 +105,7 @@ def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float =
     count, logp = got
     if not len(count):  # a text of single letters: all languages are alike
         return model.names[0], 1.0 / len(model.names), [model.names[0]], [1.0]
-    chosen, share = _mixture(count, logp, rounds, penalty, most)
+    chosen, share = _mixture(count, logp, rounds, penalty)
     by = np.argsort(-share, kind="stable")
     names, shares = [model.names[i] for i in chosen[by]], share[by].tolist()
     return names[0], min(1.0, max(0.0, shares[0])), names, shares
@@ -122,10 +122,9 @@ def standing(text: str | None, model: Languages, rounds: int = 8, penalty: float
     if got is None:
         return 0.0
     count, logp = got
-    k = len(model.names)
     if not len(count):
-        return 1.0 / k
-    chosen, share = _mixture(count, logp, rounds, penalty, k)
+        return 1.0 / len(model.names)
+    chosen, share = _mixture(count, logp, rounds, penalty)
     with_flat = np.c_[logp[:, chosen], np.full(len(count), -BITS * np.log(2.0))]
     shift = with_flat.max(1)
     like = np.exp(with_flat - shift[:, None])

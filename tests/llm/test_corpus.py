@@ -249,6 +249,15 @@ def test_language_stage_rejects_mixtures_and_gibberish(spark):
     assert langid.standing("a b", m) == pytest.approx(1 / 6) and langid.standing(None, m) == 0.0
 
 
+def test_language_set_has_no_fixed_size():
+    rng = np.random.default_rng(4)
+    make = lambda a, n: " ".join("".join(rng.choice(list(a), 6)) for _ in range(n))
+    alphabets = ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx")
+    m = langid.train([make(a, 400) for a in alphabets], list(alphabets))
+    name, share, names, shares = langid.infer(" ".join(make(a, 100) for a in alphabets), m)
+    assert sorted(names) == sorted(alphabets) and shares == pytest.approx([1 / 6] * 6, abs=0.02) and name == names[0]
+
+
 def test_tokens_at_every_prefix(spark):
     c = tokens.PieceCounter(tokens.default_path())
     exact = lambda t: len(c.tokenizer.encode(t or "", add_special_tokens=False).ids)
