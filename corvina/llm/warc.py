@@ -1,18 +1,16 @@
 """Operator 9: WARC archives with an externally merged capture index.
 
 Writers make locally sorted capture runs: an archive of one gzip member per record, and
-an index of (URL key, timestamp, page) with a block list that allows seeking. Reading
-splits the key space into ranges; a task per range merges that stretch of all runs with
-a loser tree, streaming, and reads records in the order that results.
+an index of (URL key, timestamp, page) that can be searched by halving. Reading splits
+the key space into ranges by a bounded sample of keys; a task per range merges that
+stretch of all runs with a loser tree, streaming, and reads records in that order.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import uuid
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 from typing import IO
 
@@ -23,12 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch_path, table
 
-#: Payloads from this size on are stored once; runs merged by one task; index entries between block marks.
+#: Payloads from this size on are stored once; runs merged by one task; keys kept of a run to cut ranges by.
 LEAST_SHARED = 1000
 FAN_IN = 128
-BLOCK = 1000
+SAMPLE = 256
 RANGE_ROWS = 200_000
-OPEN_FILES = 64
+#: Keys that a payload of many copies is spread over; records fetched together, their compressed bytes, and the gap between two that one read bridges.
+SALTS = 16
+FETCH_ROWS = 2000
+FETCH_BYTES = 16 << 20
+READ_GAP = 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 Key = tuple[str, str, int]
 
@@ -47,7 +49,10 @@ def captures(pages: DataFrame, timestamp: Column | None = None) -> DataFrame:
     """``pages`` (page_id, url, html) as captures: key, time, digest, and the page whose equal payload is stored instead.
 
     Without a timestamp column the time is page_id seconds after 2020-01-01. Of equal
-    payloads of at least LEAST_SHARED bytes the largest page_id keeps the payload.
+    payloads of at least LEAST_SHARED bytes the largest page_id keeps the payload; every
+    row of that page_id does, if it repeats, and every row where all ids are null. A row
+    of null page_id else refers to the largest. A payload of any number of copies is
+    spread over SALTS keys for its look-up.
     """
     ts = timestamp if timestamp is not None else F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1577836800)
     p = pages.select(
@@ -55,8 +60,9 @@ def captures(pages: DataFrame, timestamp: Column | None = None) -> DataFrame:
         F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"),
     ).withColumn("digest", F.sha1(F.encode("html", "utf-8")))
     shared = p.filter(F.octet_length("html") >= LEAST_SHARED).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = materialise(shared.filter("n > 1").select(F.col("digest").alias("d"), "first"), "shared")
-    joined = p.join(shared, (F.col("digest") == F.col("d")) & (F.octet_length("html") >= LEAST_SHARED), "left")
+    shared = materialise(shared.filter("n > 1").select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")), "shared")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    joined = p.join(shared, (F.col("digest") == F.col("d")) & (salt == F.col("s")) & (F.octet_length("html") >= LEAST_SHARED), "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "url", "urlkey", "ts", "digest", F.octet_length("html").alias("size"), F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), F.when(revisit, F.col("first")).alias("refers_to")
@@ -100,28 +106,31 @@ def parse(data: bytes) -> dict:
 
 
 class IndexWriter:
-    """A sorted run of index lines and, each BLOCK lines, a mark (key, byte offset) to seek by."""
+    """A sorted run of index lines and an even sample of its keys, at most SAMPLE of them whatever the run's length."""
 
     def __init__(self, fs: pafs.FileSystem, path: str) -> None:
-        self.fs, self.path, self.out, self.at, self.n = fs, path, fs.open_output_stream(path), 0, 0
-        self.marks: list[tuple[Key, int]] = []
+        self.path, self.out, self.at, self.n, self.step = path, fs.open_output_stream(path), 0, 0, 1
+        self.sample: list[Key] = []
         self.last: Key | None = None
 
     def add(self, key: Key, where: str) -> None:
         if self.last is not None and key < self.last:
             raise ValueError("an index run must be sorted")
-        if self.n % BLOCK == 0:
-            self.marks.append((key, self.at))
+        if self.n % self.step == 0:
+            if len(self.sample) == SAMPLE:  # twice as long a step from now on
+                self.sample, self.step = self.sample[::2], 2 * self.step
+            if self.n % self.step == 0:
+                self.sample.append(key)
         line = f"{key[0]}\t{key[1]}\t{key[2]}\t{where}\n".encode("utf-8", "surrogatepass")
         self.out.write(line)
         self.at, self.n, self.last = self.at + len(line), self.n + 1, key
 
     def close(self) -> dict:
         self.out.close()
-        return {"index": self.path, "n": self.n, "keys": ["\t".join(map(str, k)) for k, _ in self.marks], "offsets": [o for _, o in self.marks]}
+        return {"index": self.path, "n": self.n, "bytes": self.at, "sample": ["\t".join(map(str, k)) for k in self.sample]}
 
 
-MANIFEST = "index string, n bigint, keys array<string>, offsets array<bigint>"
+MANIFEST = "index string, n bigint, bytes bigint, sample array<string>"
 
 
 def _key(line: str) -> Key:
@@ -130,7 +139,7 @@ def _key(line: str) -> Key:
 
 
 def _manifest(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [("index", pa.string()), ("n", pa.int64()), ("keys", pa.list_(pa.string())), ("offsets", pa.list_(pa.int64()))]
+    kinds = [("index", pa.string()), ("n", pa.int64()), ("bytes", pa.int64()), ("sample", pa.list_(pa.string()))]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds], [k for k, _ in kinds])
 
 
@@ -165,6 +174,26 @@ def write_archives(caps: DataFrame, where: str) -> DataFrame:
     return materialise(caps.sortWithinPartitions("urlkey", "ts", F.coalesce("page_id", F.lit(-1))).mapInArrow(write, MANIFEST), "manifest")
 
 
+def seek_key(f: IO[bytes], size: int, low: Key, near: int = 1 << 16) -> int:
+    """A byte of a sorted run at the start of a line, before every line of ``low`` or above, found by halving the file."""
+    a, b = 0, size  # the line that starts at a, if any, is below low, or a is 0
+    while b - a > near:
+        mid = (a + b) // 2
+        f.seek(mid)
+        got = b""
+        while got.count(b"\n") < 2 and (more := f.read(1 << 12)):
+            got += more
+        cut = got.find(b"\n") + 1
+        end = got.find(b"\n", cut)
+        if not cut or end < 0 or mid + cut >= b:
+            b = mid
+        elif _key(got[cut:end].decode("utf-8", "surrogatepass")) < low:
+            a = mid + cut
+        else:
+            b = mid
+    return a
+
+
 def stream_run(f: IO[bytes], start: int, low: Key | None, high: Key | None) -> Iterator[tuple[Key, str]]:
     """(key, rest of the line) of a run from byte ``start``, within low <= key < high."""
     f.seek(start)
@@ -232,17 +261,12 @@ class LoserTree:
             self.loser[0] = winner
 
 
-def _merged(where: str, runs: list[tuple[str, list[str], list[int]]], low: Key | None, high: Key | None) -> Iterator[tuple[Key, str]]:
+def _merged(where: str, runs: list[tuple[str, int]], low: Key | None, high: Key | None) -> Iterator[tuple[Key, str]]:
+    """The range of all runs (path, bytes) in order; each run's place is sought in the run itself."""
     fs, _ = pafs.FileSystem.from_uri(where)
-    files, streams = [], []
-    for path, keys, offsets in runs:
-        marks = [_key(k) for k in keys]
-        if not marks or high is not None and marks[0] >= high:
-            continue
-        at = max(0, bisect.bisect_left(marks, low) - 1) if low is not None else 0
-        files.append(fs.open_input_file(path))
-        streams.append(stream_run(files[-1], offsets[at], low, high))
-    yield from LoserTree(streams)
+    files = [fs.open_input_file(path) for path, _ in runs]
+    starts = [0 if low is None else seek_key(f, size, low) for f, (_, size) in zip(files, runs, strict=True)]
+    yield from LoserTree([stream_run(f, at, low, high) for f, at in zip(files, starts, strict=True)])
     for f in files:
         f.close()
 
@@ -251,14 +275,14 @@ def merge_to_fan_in(manifest: DataFrame, where: str, fan_in: int = FAN_IN) -> Da
     """Merge index runs in groups of ``fan_in``, pass by pass, until one task can merge what is left."""
     while (n := manifest.count()) > fan_in:
         groups = -(-n // fan_in)
-        packed = manifest.withColumn("g", F.pmod(F.xxhash64("index"), F.lit(groups))).groupBy("g").agg(F.collect_list(F.struct("index", "keys", "offsets")).alias("runs"))
+        packed = manifest.withColumn("g", F.pmod(F.xxhash64("index"), F.lit(groups))).groupBy("g").agg(F.collect_list(F.struct("index", "bytes")).alias("runs"))
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, base = pafs.FileSystem.from_uri(where)
             for batch in batches:
                 for r in batch.to_pylist():
                     out = IndexWriter(fs, f"{base}/merged-{uuid.uuid4().hex}.idx")
-                    for key, rest in _merged(where, [(x["index"], x["keys"], x["offsets"]) for x in r["runs"]], None, None):
+                    for key, rest in _merged(where, [(x["index"], x["bytes"]) for x in r["runs"]], None, None):
                         out.add(key, rest)
                     yield _manifest([out.close()])
 
@@ -266,57 +290,87 @@ def merge_to_fan_in(manifest: DataFrame, where: str, fan_in: int = FAN_IN) -> Da
     return manifest
 
 
+def _fetch(fs: pafs.FileSystem, held: list[tuple[Key, str]]) -> list[dict]:
+    """The records of some index entries, in their order; each archive is opened once, neighbouring records are read in one go."""
+    places: dict[str, list[tuple[int, int, int]]] = {}
+    for k, (_, rest) in enumerate(held):
+        path, at, size = rest.split("\t")
+        places.setdefault(path, []).append((int(at), int(size), k))
+    out: list[dict] = [{}] * len(held)
+    for path, parts in places.items():
+        parts.sort()
+        with fs.open_input_file(path) as f:
+            i = 0
+            while i < len(parts):
+                j, start, end = i + 1, parts[i][0], parts[i][0] + parts[i][1]
+                while j < len(parts) and parts[j][0] - end <= READ_GAP:
+                    end = max(end, parts[j][0] + parts[j][1])
+                    j += 1
+                f.seek(start)
+                data = f.read(end - start)
+                for at, size, k in parts[i:j]:
+                    out[k] = {"urlkey": held[k][0][0]} | parse(zlib.decompress(data[at - start : at - start + size], 31))
+                i = j
+    return out
+
+
 READ = "urlkey string, ts string, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
 
 
 def read_archives(manifest: DataFrame, where: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every record of the archives, in capture order within each range of (URL key, time, page).
 
-    Ranges follow from the runs' block marks, so one URL's captures of any number are split
-    like others. A task holds a buffer for each of at most ``fan_in`` runs.
+    The driver sees ``fan_in`` runs at most, each with SAMPLE keys at most, and cuts the
+    key space by them, so one URL's captures of any number are split like others. A task
+    finds its place in each run by halving, holds a buffer per run, and fetches records
+    by the thousand: a lost executor costs its ranges, which are read again. Repeated and
+    null page_ids (-1 in the index) keep a record each.
     """
     spark = manifest.sparkSession
     manifest = merge_to_fan_in(manifest, where, fan_in)
-    runs = [(r["index"], r["keys"], r["offsets"]) for r in manifest.collect()]  # at most fan_in rows with a mark per BLOCK records
-    total = sum(r["n"] for r in manifest.select("n").collect())
-    marks = sorted(_key(k) for _, keys, _ in runs for k in keys)
-    ranges = max(1, min(len(marks), max(-(-total // range_rows), 2 * spark.sparkContext.defaultParallelism)))
-    cuts = sorted({marks[i * len(marks) // ranges] for i in range(1, ranges)}) if marks else []
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    shared = spark.sparkContext.broadcast(runs)
+    got = manifest.collect()
+    runs = [(r["index"], r["bytes"]) for r in got]
+    marks = sorted((_key(k), r["n"] / len(r["sample"])) for r in got for k in r["sample"])
+    total, ranges = sum(r["n"] for r in got), max(1, -(-sum(r["n"] for r in got) // range_rows), min(2 * spark.sparkContext.defaultParallelism, len(marks)))
+    cuts, before = set(), 0.0
+    for key, weight in marks:
+        if int(before * ranges / total) != int((before + weight) * ranges / total):
+            cuts.add(key)
+        before += weight
+    bounds = list(zip([None, *sorted(cuts)], [*sorted(cuts), None], strict=True))
+    shared = spark.sparkContext.broadcast((runs, bounds))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(where)
         names = ["urlkey", "ts", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        files: OrderedDict[str, pa.NativeFile] = OrderedDict()
+        runs, bounds = shared.value
         for batch in batches:
             for n in batch.column(0).to_pylist():
-                rows: list[dict] = []
-                for key, rest in _merged(where, shared.value, *bounds[n]):
-                    path, at, size = rest.split("\t")
-                    if path not in files:
-                        if len(files) >= OPEN_FILES:
-                            files.popitem(last=False)[1].close()
-                        files[path] = fs.open_input_file(path)
-                    files.move_to_end(path)
-                    f = files[path]
-                    f.seek(int(at))
-                    rows.append({"urlkey": key[0]} | parse(zlib.decompress(f.read(int(size)), 31)))
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in zip(names, kinds, strict=True)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in zip(names, kinds, strict=True)], names)
+                held: list[tuple[Key, str]] = []
+                size = 0
+
+                def flush() -> pa.RecordBatch:
+                    rows = _fetch(fs, held)
+                    return pa.RecordBatch.from_arrays([pa.array([r[x] for r in rows], t) for x, t in zip(names, kinds, strict=True)], names)
+
+                for item in _merged(where, runs, *bounds[n]):
+                    held.append(item)
+                    size += int(item[1].rpartition("\t")[2])
+                    if len(held) == FETCH_ROWS or size > FETCH_BYTES:
+                        yield flush()
+                        held, size = [], 0
+                if held:
+                    yield flush()
 
     return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(read, READ)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and urlkey, ts) of every page, read back from archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from archives."""
     where = scratch_path(spark, "warc")
     manifest = write_archives(captures(table(spark, sf_dir, "pages")), where)
-    return read_archives(manifest, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "ts")
+    return read_archives(manifest, where).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """
