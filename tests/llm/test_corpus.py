@@ -258,19 +258,68 @@ def test_language_set_has_no_fixed_size():
     assert sorted(names) == sorted(alphabets) and shares == pytest.approx([1 / 6] * 6, abs=0.02) and name == names[0]
 
 
+def library(path=None):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path or tokens.default_path())
+    t.no_truncation()
+    t.no_padding()
+    return lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+
+
+ODD = [
+    "it's A <|endoftext|>x don't we'll 12.5 café × İstanbul ΣΑΣ e\u0301 z\x1c日本語 ''s ", "", "\n\n", "’s “q” naïve Ünï 中a1b2 ÀÉ÷ŉ ſt x\u0301a",
+    "'ll 'l 're're !'s a'b'll'r'rex <|startoftext|><|endoftext|", "e\u0323\u0301a \u1100\u1161\u11a8x A\u030a \u212b b<|endoftext|>\u0301c", " á İ ǅ ß ﬁ ª ² ½ Ⅷ\u2003x",
+]
+
+
 def test_tokens_at_every_prefix(spark):
-    c = tokens.PieceCounter(tokens.default_path())
-    exact = lambda t: len(c.tokenizer.encode(t or "", add_special_tokens=False).ids)
-    texts = ["it's A <|endoftext|>x don't we'll 12.5 café × İstanbul ΣΑΣ é z\x1c日本語 ''s ", "", None, "\n\n", "’s “q” naïve Ünï 中a1b2 ÀÉ÷ŉ ſt x́a", prose(3, 50)]
-    assert tokens.count_texts(texts, c) == [exact(t) for t in texts]
+    c, exact = tokens.PrefixCounter(tokens.default_path()), library()
+    rng = np.random.default_rng(5)
+    signs = list("abcthe'slrvmdng <|>endoftext12.,!é\u0301中ÀİΣŉſ\x1c\x85")
+    texts = [*ODD, prose(3, 50), *("".join(rng.choice(signs, rng.integers(1, 24))) for _ in range(300))]
+    assert c.totals([None, *texts]) == [0, *map(exact, texts)]
     for t in texts:
-        t = t or ""
-        p = tokens.Prefixes.of(t, c)
         counts = [exact(t[:k]) for k in range(len(t) + 1)]
-        assert [p.at(t, k, c) for k in range(len(t) + 1)] == counts
+        p = c.prefixes(t)
+        assert p.tolist() == counts
         for budget in range(0, counts[-1] + 1, 5):
-            assert exact(p.truncate(t, budget, c)) <= budget
-    assert [r["n_tokens"] for r in tokens.with_token_counts(docs_of(spark, texts)).orderBy("doc_id").collect()] == [exact(t) for t in texts]
+            assert tokens.longest_within(p, budget) == max(k for k, n in enumerate(counts) if n <= budget)
+    d = docs_of(spark, [*texts, None]).withColumn("n_tokens", F.lit("clash"))
+    got = tokens.with_token_counts(d, limit=9).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [*map(exact, texts), 0] and all(r["over_limit"] == (r["n_tokens"] > 9) for r in got)
+    assert all(exact((r["text"] or "")[: r["within_limit"]]) <= 9 for r in got)
+    stored = [r["prefix"] for r in tokens.prefix_table(d).orderBy("doc_id").collect()]
+    assert stored[0] == c.prefixes(texts[0]).tolist() and stored[-1] == [0] and tokens.tokens_at(stored[0], 4) == exact(texts[0][:4])
+    assert tokens.with_token_counts(d.limit(0)).count() == 0
+
+
+def test_tokens_never_encode(monkeypatch):
+    import tokenizers
+
+    c = tokens.PrefixCounter(tokens.default_path())
+
+    class Refuses:
+        def __getattr__(self, name):
+            raise AssertionError(f"the library was asked to {name}")
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Refuses())
+    assert not any("encode" in dir(x) for x in (c.v.normaliser, c.v.parter))
+    p = c.prefixes("Some words it's fun")
+    assert tokens.tokens_at(p, 4) == 1 and tokens.longest_within(p, 1) >= 4
+
+
+def test_tokens_of_long_texts_and_colliding_hashes(monkeypatch):
+    exact = library()
+    c = tokens.PrefixCounter(tokens.default_path())
+    text = prose(4, 200_000)  # beyond one group
+    assert len(text) > 2 * tokens.GROUP // 2 and c.totals([text, None, "x"]) == [exact(text), 0, 1]
+    run = "ab" * 20_000  # one very long piece
+    p = c.prefixes(run)
+    assert p[-1] == exact(run) and all(p[k] == exact(run[:k]) for k in (1, 199, 2001))
+    monkeypatch.setattr(tokens.bw, "hashes", lambda b, s, e: (e - s).astype(np.uint64) % np.uint64(3))  # nearly all pieces collide
+    c = tokens.PrefixCounter(tokens.default_path())
+    assert c.totals(ODD) == [exact(x) for x in ODD]
 
 
 def test_licences(spark):
