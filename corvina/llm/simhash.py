@@ -1,8 +1,11 @@
 """Operator 8: SimHash near-duplicates, found by deletion-variant signatures.
 
-A fingerprint is cut into three segments. Where two differ in at most four bits, one
-segment differs in at most one; so each fingerprint is indexed under every segment with
-each of its bits wildcarded in turn (64 variants), and equal variants are compared.
+A fingerprint is cut into few segments, so that one of them differs in at most one bit
+between near copies; each fingerprint is indexed under every segment with each of its
+bits wildcarded in turn, and what shares a variant is compared. ``EXACT`` (64 bits, three
+segments, 4 bits apart) finds every link by that argument; ``WIDE`` (128 bits, six
+segments) links texts whose five-word shingles are about 0.8 alike: fingerprints that
+have a segment with at most one bit between them and at most 19 bits in all.
 Buckets are never expanded into pairs: a bucket yields a forest that joins its linked
 fingerprints. A bucket beyond LIMIT is indexed again by the remaining bits, and what is
 still beyond it is split into pairs of blocks, so no task holds an unbounded group.
@@ -11,6 +14,7 @@ still beyond it is split into pairs of blocks, so no task holds an unbounded gro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +23,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import buckets as bk
+from . import bytewords as bw
 from .common import materialise, row_key, table
 from .components import connected_components
 
-SHINGLE = 4
-MAX_DISTANCE = 4
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LIMIT = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+@dataclass(frozen=True)
+class Spec:
+    """Words of a shingle, segments (start, length) of the fingerprint's 64-bit words in a row, and the most bits a link differs in."""
+
+    shingle: int
+    segments: tuple[tuple[int, int], ...]
+    most: int
+
+    @property
+    def words(self) -> int:
+        return 1 + (self.segments[-1][0] + self.segments[-1][1] - 1) // 64
+
+
+EXACT = Spec(4, ((0, 22), (22, 21), (43, 21)), 4)
+WIDE = Spec(5, ((0, 22), (22, 21), (43, 21), (64, 22), (86, 21), (107, 21)), 19)
+
+
+def fingerprint(text: str | None, shingle: int = EXACT.shingle) -> int:
     """64-bit SimHash of the whole text, as a signed integer.
 
     Words part at ASCII white space, A-Z lower-cased; fewer words than a shingle make one
@@ -44,132 +63,193 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts, ends = (end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(data[s:e], 42) for s, e in zip(starts, ends, strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
-    return int(np.int64(np.uint64(bits).astype(np.int64)))
+    return int(_majority([h])[0])
 
 
-def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
-    @F.arrow_udf("bigint")
+def _majority(hashes: list[np.ndarray]) -> np.ndarray:
+    """A signed 64-bit word per array: the bits that over half of its hashes have."""
+    out = []
+    for h in hashes:
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 15):
+            part = h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    return np.array(out, np.uint64).view(np.int64)
+
+
+def wide_fingerprint(text: str | None, spec: Spec = WIDE) -> np.ndarray:
+    """``spec.words`` signed 64-bit words of SimHash; words and short texts as in ``fingerprint``, hashes by polynomials over the words' hashes."""
+    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    parts = []
+    for seg in bw.segments(data):
+        starts, ends = bw.spans(seg, bw.NOT_SPACE)
+        parts.append(bw.hashes(np.frombuffer(seg, np.uint8), starts, ends))
+    w = np.concatenate(parts)
+    if not len(w):
+        return np.zeros(spec.words, np.int64)
+    k = min(spec.shingle, len(w))
+    h = np.zeros(len(w) - k + 1, np.uint64)
+    for j in range(k):
+        h = (h ^ w[j : len(w) - k + 1 + j]) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    mixed = []
+    for n in range(spec.words):
+        x = (h + np.uint64((n + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed.append(x ^ x >> np.uint64(31))
+    return _majority(mixed)
+
+
+def fingerprint_columns(spec: Spec) -> list[Column]:
+    """``f0``, ``f1``, …: the fingerprint's words, as columns that follow from ``text``."""
+    n = spec.words
+
+    @F.arrow_udf("struct<" + ",".join(f"f{k}:bigint" for k in range(n)) + ">")
     def computed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())
+            rows = [np.array([fingerprint(t, spec.shingle)]) if n == 1 else wide_fingerprint(t, spec) for t in texts.to_pylist()]
+            m = np.array(rows, np.int64).reshape(-1, n)
+            yield pa.StructArray.from_arrays([pa.array(m[:, k]) for k in range(n)], [f"f{k}" for k in range(n)])
 
-    return computed(text)
+    return [computed(F.col("text")).alias("fp")]
+
+
+def _words(spec: Spec) -> list[str]:
+    return [f"f{k}" for k in range(spec.words)]
+
+
+def node(spec: Spec, suffix: str = "") -> Column:
+    """A fingerprint as one value that compares: the number itself, or its words in hexadecimal."""
+    if spec.words == 1:
+        return F.col(f"f0{suffix}")
+    return F.concat(*[F.lpad(F.hex(f"{w}{suffix}"), 16, "0") for w in _words(spec)])
 
 
 def _bits(x: Column, start: int, length: int) -> Column:
     return F.shiftrightunsigned(x, start).bitwiseAND((1 << length) - 1)
 
 
-def _variants(x: Column, segments: tuple[tuple[int, int], ...]) -> Column:
+def _variants(words: list[Column], segments: tuple[tuple[int, int], ...]) -> Column:
     """One number per bit: its place over its segment's bits with that bit cleared."""
     wide = max(n for _, n in segments)
     out = []
     for start, n in segments:
-        s = _bits(x, start, n)
+        s = _bits(words[start // 64], start % 64, n)
         out += [s.bitwiseAND(((1 << n) - 1) ^ (1 << b)) + F.lit((start + b) << wide) for b in range(n)]
     return F.array(*[v.cast("long") for v in out])
 
 
 def _rest(x: Column, bit: Column) -> Column:
-    """The 42 or 43 bits outside the segment that holds ``bit``."""
-    (_, a), (b, _), (c, _) = SEGMENTS
+    """The 42 or 43 bits of an ``EXACT`` fingerprint outside the segment that holds ``bit``."""
+    (_, a), (b, _), (c, _) = EXACT.segments
     upper = F.shiftrightunsigned(x, c)
     return F.when(bit < b, F.shiftrightunsigned(x, a)).when(bit < c, _bits(x, 0, b) + F.shiftleft(upper, b)).otherwise(_bits(x, 0, c))
 
 
-def _compare(batches: Iterator[pa.RecordBatch], limit: int, most: int) -> Iterator[pa.RecordBatch]:
-    """(hot, key, a, b): edges that join linked fingerprints of a bucket, and the rows of buckets beyond the limit."""
+def _compare(batches: Iterator[pa.RecordBatch], spec: Spec, limit: int) -> Iterator[pa.RecordBatch]:
+    """(hot, key, f…, f…b): edges that join linked fingerprints of a bucket, and the rows of buckets beyond the limit."""
+    names = _words(spec)
 
-    def rows(hot: bool, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), hot)), pa.array(key), pa.array(a), pa.array(b)], ["hot", "key", "a", "b"])
+    def rows(hot: bool, key: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), hot)), pa.array(key), *map(pa.array, a), *map(pa.array, b)], ["hot", "key", *names, *(f"{x}b" for x in names)])
 
     for c, large in bk.whole_groups(batches, limit):
         if len(large["key"]):
-            yield rows(True, large["key"], large["fp"], large["fp"])
+            own = [large[x] for x in names]
+            yield rows(True, large["key"], own, own)
         key = c["key"]
         if not len(key):
             continue
-        fp = c["fp"].view(np.uint64)
-        found = [(i[near], j[near]) for i, j in bk.pairs(key) for near in [np.bitwise_count(fp[i] ^ fp[j]) <= most]]
+        fps = [c[x].view(np.uint64) for x in names]
+        apart = lambda i, j: sum(np.bitwise_count(f[i] ^ f[j]).astype(np.int16) for f in fps)
+        found = [(i[near], j[near]) for i, j in bk.pairs(key) for near in [apart(i, j) <= spec.most]]
         for g in bk.large_groups(key):
-            x = fp[g]
-            label = bk.forest(len(x), bk.blocks(len(x), lambda r, s, x=x: np.bitwise_count(x[r, None] ^ x[None, s]) <= most))
-            i = np.flatnonzero(label != np.arange(len(x)))
+            part = [f[g] for f in fps]
+
+            def near(r: slice, s: slice, part: list[np.ndarray] = part) -> np.ndarray:
+                return sum(np.bitwise_count(f[r, None] ^ f[None, s]).astype(np.int16) for f in part) <= spec.most
+
+            label = bk.forest(len(part[0]), bk.blocks(len(part[0]), near))
+            i = np.flatnonzero(label != np.arange(len(part[0])))
             found.append((g.start + i, g.start + label[i]))
         i, j = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
         if len(i):
-            yield rows(False, key[i], c["fp"][i], c["fp"][j])
+            yield rows(False, key[i], [c[x][i] for x in names], [c[x][j] for x in names])
 
 
-def _edges(keyed: DataFrame, limit: int, most: int) -> DataFrame:
-    """``_compare`` over (key, fp), rows sorted by key within their partition."""
+def _edges(keyed: DataFrame, spec: Spec, limit: int) -> DataFrame:
+    """``_compare`` over (key, f…), rows sorted by key within their partition."""
+    fields = ", ".join(f"{x} bigint" for x in [*_words(spec), *(f"{x}b" for x in _words(spec))])
     return materialise(
-        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, limit, most), "hot boolean, key bigint, a bigint, b bigint"),
+        keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _compare(it, spec, limit), f"hot boolean, key bigint, {fields}"),
         "edges",
     )
 
 
-def link_fingerprints(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Edges (a, b) over the distinct values of column ``fp`` whose components are those of all links."""
-    wide = max(n for _, n in SEGMENTS)
-    fps = fps.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    first = _edges(fps.select(F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"), "fp"), limit, MAX_DISTANCE)
-    edges = first.filter(~F.col("hot")).select("a", "b")
-    if first.filter("hot").isEmpty():
-        return edges
-    # the bucket's bits agree but for one: the others, in three pieces, tell its rows apart
-    rest = _rest(F.col("a"), F.shiftright("key", wide))
-    pieces = ((0, 15), (15, 14), (29, 14))
-    again = first.filter("hot").select(F.explode(_variants(rest, pieces)).alias("v"), "key", F.col("a").alias("fp"))
-    second = _edges(again.select((F.shiftleft("key", 22) + F.col("v")).alias("key"), "fp"), limit, MAX_DISTANCE)
-    edges = edges.union(second.filter(~F.col("hot")).select("a", "b"))
-    left = second.filter("hot").select("key", F.col("a").alias("fp"))
+def link_fingerprints(fps: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) -> DataFrame:
+    """Edges (a, b) of nodes, over the distinct fingerprints of columns ``f0``, …, whose components are those of all links."""
+    wide = max(n for _, n in spec.segments)
+    names = _words(spec)
+    ends = lambda df: df.filter(~F.col("hot")).select(node(spec).alias("a"), node(spec, "b").alias("b"))
+    fps = fps.select(*names).dropna().distinct()
+    first = _edges(fps.select(F.explode(_variants([F.col(x) for x in names], spec.segments)).alias("key"), *names), spec, limit)
+    edges = ends(first)
+    left = first.filter("hot").select("key", *names)
     if left.isEmpty():
         return edges
+    if spec == EXACT:
+        # the bucket's bits agree but for one: the others, in three pieces, tell its rows apart
+        rest = _rest(F.col("f0"), F.shiftright("key", wide))
+        pieces = ((0, 15), (15, 14), (29, 14))
+        again = left.select(F.explode(_variants([rest], pieces)).alias("v"), "key", "f0")
+        second = _edges(again.select((F.shiftleft("key", 22) + F.col("v")).alias("key"), "f0"), spec, limit)
+        edges, left = edges.union(ends(second)), second.filter("hot").select("key", *names)
+        if left.isEmpty():
+            return edges
     half = limit // 2
     n = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") * 3 / F.lit(half)))
-    b = left.join(n, "key").withColumn("block", F.pmod(F.xxhash64("fp"), "blocks"))
-    b = b.select("key", "fp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    b = b.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "fp")
-    third = _edges(b, 1 << 30, MAX_DISTANCE)
-    return edges.union(third.select("a", "b"))
+    b = left.join(n, "key").withColumn("block", F.pmod(F.xxhash64(*names), "blocks"))
+    b = b.select("key", *names, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    b = b.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), *names)
+    return edges.union(ends(_edges(b, spec, 1 << 30)))
 
 
-def _rooted(fps: DataFrame, limit: int) -> DataFrame:
-    """``fps``, a row for each fingerprint, with ``root``, the smallest fingerprint that links lead to."""
-    parts = connected_components(link_fingerprints(fps, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+def _rooted(fps: DataFrame, spec: Spec, limit: int) -> DataFrame:
+    """``fps``, a row for each fingerprint, with ``fp``, its node, and ``root``, the smallest node that links lead to."""
+    fps = fps.withColumn("fp", node(spec))
+    parts = connected_components(link_fingerprints(fps, spec, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = fps.join(parts, "fp", "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
     return materialise(rooted, "rooted")
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``docs``.
 
     Equal fingerprints are one node, whatever their number; the component is the smallest
-    doc_id reachable by links of at most MAX_DISTANCE differing bits, the row's own
-    included. Null ids never name a component unless it has no other.
+    doc_id reachable by links of at most ``spec.most`` differing bits, the row's own
+    included. Null ids never name a component unless it has no other; a repeated id has
+    a row, and its own fingerprint, for each time it comes. Other columns aren't looked at.
     """
-    d = materialise(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
-    rooted = _rooted(d.groupBy("fp").agg(F.min("doc_id").alias("least")), limit)
+    names = _words(spec)
+    d = materialise(docs.select("doc_id", "text").select("doc_id", *fingerprint_columns(spec)).select("doc_id", "fp.*"), "fingerprints")
+    rooted = _rooted(d.groupBy(*names).agg(F.min("doc_id").alias("least")), spec, limit)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return d.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = rooted.select(*names, "fp", "root").join(least, "root").select(*names, "fp", "component_id")
+    return d.join(of_fp, names).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, spec: Spec = WIDE, limit: int = LIMIT) -> DataFrame:
     """One row of each component, all columns as they came: that of the smallest doc_id, null ids last.
 
     Rows are told apart by all their columns, so null and repeated ids stay as often as
-    their components differ; of a component's rows of one id, that of the least hash stays.
+    their components differ; of a component's rows of one id, that of the least hash
+    stays. Texts without a word (null, empty) are copies of each other.
     """
-    d = materialise(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp"), *row_key(docs)), "fingerprints")
+    names = _words(spec)
+    d = materialise(docs.select("doc_id", "text", *row_key(docs)).select("doc_id", "__h1", "__h2", *fingerprint_columns(spec)).select("doc_id", "__h1", "__h2", "fp.*"), "fingerprints")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__h1", "__h2")
-    rooted = _rooted(d.groupBy("fp").agg(F.min(first).alias("first")), limit)
+    rooted = _rooted(d.groupBy(*names).agg(F.min(first).alias("first")), spec, limit)
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.__h1", "first.__h2")
     left = docs.select("*", *row_key(docs)).join(kept, ["__h1", "__h2"], "left_semi")
     equal_rows = not d.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()

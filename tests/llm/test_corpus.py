@@ -126,12 +126,39 @@ def test_fingerprints_and_components(spark):
     f = [fp(t) for t in texts]
     want = unite(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 4])
     for limit in (4096, 3):
-        got = simhash.near_duplicates(docs_of(spark, texts), limit).orderBy("doc_id").collect()
+        got = simhash.near_duplicates(docs_of(spark, texts), limit=limit).orderBy("doc_id").collect()
         assert [r["fp"] & (1 << 64) - 1 for r in got] == f and [r["component_id"] for r in got] == want
-    assert simhash.drop_near_duplicates(docs_of(spark, texts)).count() == len(set(want))
+    assert simhash.drop_near_duplicates(docs_of(spark, texts), simhash.EXACT).count() == len(set(want))
     assert simhash.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_wide_fingerprints_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = [None, "", "one", "One", "a b c d"]
+    for i in range(25):
+        base = prose(400 + i, 120).split()
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 30):
+            w = list(base)
+            for at in rng.integers(0, len(w), edits):
+                w[at] = f"edit{rng.integers(1000)}"
+            texts.append(" ".join(w))
+    spec = simhash.WIDE
+    f = [sum(int(np.uint64(x)) << 64 * k for k, x in enumerate(simhash.wide_fingerprint(t).view(np.uint64))) for t in texts]
+
+    def linked(a, b):
+        x = a ^ b
+        return x.bit_count() <= spec.most and any((x >> s & (1 << n) - 1).bit_count() <= 1 for s, n in spec.segments)
+
+    want = unite(len(f), [(i, j) for i in range(len(f)) for j in range(i) if linked(f[i], f[j])])
+    assert len(set(want)) < len(f) - 40  # most slightly edited copies link
+    for limit in (4096, 2):
+        got = simhash.near_duplicates(docs_of(spark, texts), spec, limit).orderBy("doc_id").collect()
+        assert [r["component_id"] for r in got] == want
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(spark, texts)).collect()}
+    assert kept == set(want)
+
+
 def test_stages_keep_rows_by_text_not_by_id(spark):
     unlike = [prose(3000 + i, 60) for i in range(10)]
     rows = [(None, t, "en", "s", None, 9, "k") for t in unlike]  # null ids, unlike texts
