@@ -1,9 +1,10 @@
 """Operator 4: near-duplicate embeddings, by random-hyperplane sign hashing.
 
-Several tables of sign patterns bring similar vectors of one label together; cosines are
-verified in double precision within a bucket. A pair counts in the first table that
-brings it together, so links are counted without a shuffle of pairs, and components grow
-from one forest per bucket.
+Several tables of sign patterns bring similar vectors of one label together. Slim rows
+(bucket, id, a sketch of 128 sign bits) are compared first; only vectors with a sketch
+close to theirs in a bucket travel to it, where cosines are verified in double
+precision. A pair counts in the first table that brings it together, so links are
+counted without a shuffle of pairs, and components grow from one forest per bucket.
 """
 
 from __future__ import annotations
@@ -23,38 +24,80 @@ from .components import connected_components
 THRESHOLD = 0.98
 RECALL = 0.99999
 LIMIT = 4096
+SKETCH = 128
 
 
 def plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
     """(bits, tables) for ``n`` distinct vectors: buckets of few rows, and the wanted recall for a pair right at the threshold."""
-    bits = min(24, max(6, math.ceil(math.log2(max(2, n) / 4))))
+    bits = min(30, max(6, math.ceil(math.log2(max(2, n) / 4))))
     agree = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def sketch_distance(threshold: float = THRESHOLD, miss: float = 1e-7) -> int:
+    """Sketch bits that a pair right at the threshold differs in at most, but for a chance of ``miss``."""
+    p = math.acos(threshold) / math.pi
+    tail, k = 1.0, 0
+    while tail > miss and k < SKETCH:
+        tail -= math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        k += 1
+    return k - 1
+
+
 def signatures(vectors: Column, bits: int, tables: int, seed: int = 11) -> Column:
-    """Sign patterns of each vector (array<double>), one number per table; the planes follow from the seed and the dimension."""
+    """Per vector, ``sig``: sign patterns, one number per table, and ``k0``, ``k1``: a sketch of other planes; all follow from the seed and the dimension."""
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<sig:array<int>,k0:bigint,k1:bigint>")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         planes: dict[int, np.ndarray] = {}
         power = 1 << np.arange(bits)
         for batch in batches:
             size = np.diff(batch.offsets.to_numpy())
-            out = np.zeros((len(batch), tables), np.int32)
-            flat = batch.flatten().to_numpy(zero_copy_only=False)
+            out, sketch = np.zeros((len(batch), tables), np.int32), np.zeros((len(batch), 2), np.int64)
+            flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             at = np.r_[0, np.cumsum(size)]
             for dim in np.unique(size):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits))
+                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits + SKETCH))
                 rows = np.flatnonzero(size == dim)
-                x = flat[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(len(rows), int(dim))
-                out[rows] = ((x @ planes[dim] > 0).reshape(len(rows), tables, bits) * power).sum(2)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables), pa.array(out.ravel()))
+                x = _units(flat[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(len(rows), int(dim)))
+                above = x @ planes[dim] > 0
+                out[rows] = (above[:, : tables * bits].reshape(len(rows), tables, bits) * power).sum(2)
+                sketch[rows] = np.packbits(above[:, tables * bits :], axis=1, bitorder="little").view("<i8")
+            sig = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * tables), pa.array(out.ravel()))
+            yield pa.StructArray.from_arrays([sig, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["sig", "k0", "k1"])
 
     return signed(vectors)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled by the largest component first, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _alive(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(t, id) of rows, sorted by key, whose bucket has another row with a sketch at most ``most`` bits apart."""
+    for c, _ in bk.whole_groups(batches, 1 << 30):  # groups beyond the limit never come here
+        key = c["key"]
+        if len(key) < 2:
+            continue
+        k0, k1 = c["k0"].view(np.uint64), c["k1"].view(np.uint64)
+        close = lambda i, j: np.bitwise_count(k0[i] ^ k0[j]).astype(np.int16) + np.bitwise_count(k1[i] ^ k1[j]) <= most
+        seen = np.zeros(len(key), bool)
+        for i, j in bk.pairs(key):
+            near = close(i, j)
+            seen[i[near]] = seen[j[near]] = True
+        for g in bk.large_groups(key):
+            rows = np.arange(g.start, g.stop)
+            for at in range(0, len(rows), bk.BLOCK):
+                part = rows[at : at + bk.BLOCK]
+                near = close(part[:, None], rows[None])
+                near[np.arange(len(part)), at + np.arange(len(part))] = False
+                seen[part] |= near.any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(c["t"][seen].astype(np.int32)), pa.array(c["id"][seen])], ["t", "id"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """(a, b, n): partial link counts n of a (b null), and edges (a, b) that join linked vectors of a bucket."""
 
@@ -65,7 +108,7 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
     for c, _ in bk.whole_groups(batches, 1 << 30):
         if len(c["key"]) < 2:
             continue
-        x = c["unit"].view(np.float64) if c["unit"].dtype != np.float64 else c["unit"]
+        x = _units(c["v"].astype(np.float64))
         sig, t, ids, many = c["sig"], c["t"], c["id"], c["many"]
         # blocks of a split bucket: only rows of the two sides meet, or one block with itself
         side, split = c["side"], c["split"]
@@ -106,26 +149,31 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     one class: its copies link with each other and are never expanded into pairs. A null
     vec_id keeps its row. Ids are taken to be unique; rows that repeat one share its class.
     """
+    wide = "double" if vectors.schema["embedding"].dataType.simpleString() != "array<float>" else "float"
     ok = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{wide}>").alias("v"))
     v = v.withColumn("ok", F.coalesce(ok & F.col("vec_id").isNotNull(), F.lit(False)))
-    v = v.withColumn("class", F.when(F.col("ok"), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)))
+    # equal vectors of a label are told by two 64-bit hashes
+    v = v.withColumn("class", F.when(F.col("ok"), F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit("vector"), "v").alias("b"))))
     classes = v.filter("ok").groupBy("label", "class").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("many"), F.first("v").alias("v"))
     classes = materialise(classes, "classes")
     bits, tables = plan(classes.count(), threshold, recall)
-    # scaled by the largest component first, so that squares neither vanish nor overflow
-    largest = F.array_max(F.transform("v", F.abs))
-    scaled = classes.withColumn("v", F.transform("v", lambda x: x / largest))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = scaled.withColumn("unit", F.transform("v", lambda x: x / norm)).withColumn("sig", signatures(F.col("unit"), bits, tables))
-    unit = materialise(unit.select("label", "id", "many", "unit", "sig"), "signed")
-
-    key = F.xxhash64("label", F.size("unit"), "t", "s")
-    spread = lambda *more: unit.select(F.posexplode("sig").alias("t", "s"), "label", "unit", *more)
-    hot = spread().select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    unit = classes.withColumn("s", signatures(F.col("v"), bits, tables))
+    unit = materialise(unit.select("label", "id", "many", "v", F.size("v").alias("dim"), "s.*"), "signed")
+
+    key = F.xxhash64("label", "dim", "t", "s")
+    slim = unit.select(F.posexplode("sig").alias("t", "s"), "label", "dim", "id", "k0", "k1").select(key.alias("key"), "t", "id", "k0", "k1")
+    hot = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
     hot = materialise(hot.select("key", F.ceil(F.col("n") * 2 / F.lit(limit)).alias("blocks")), "hot")
-    rows = spread("id", "many", "sig").select(key.alias("key"), "t", "id", "many", "unit", "sig")
-    if hot.isEmpty():
+    most = sketch_distance(threshold)
+    crowded = not hot.isEmpty()
+    few = slim.join(hot, "key", "left_anti") if crowded else slim
+    alive = few.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _alive(it, most), "t int, id bigint")
+    if crowded:  # such a bucket is compared in blocks, whole
+        alive = alive.union(slim.join(hot, "key", "left_semi").select("t", "id"))
+    alive = materialise(alive, "alive")
+    rows = alive.join(unit, "id").withColumn("s", F.element_at("sig", F.col("t") + 1)).select(key.alias("key"), "t", "id", "many", "v", "sig")
+    if not crowded:
         rows = rows.select("*", F.lit(0).alias("side"), F.lit(0).alias("split"))
     else:
         rows = rows.join(hot, "key", "left").withColumn("side", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int"))
@@ -133,7 +181,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         rows = rows.withColumn("other", F.explode(other))
         split = F.col("blocks").isNotNull()
         where = F.when(split, F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).otherwise(F.col("key"))
-        rows = rows.select(where.alias("key"), "t", "id", "many", "unit", "sig", "side", (split & (F.col("side") != F.col("other"))).cast("int").alias("split"))
+        rows = rows.select(where.alias("key"), "t", "id", "many", "v", "sig", "side", (split & (F.col("side") != F.col("other"))).cast("int").alias("split"))
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _linked(it, threshold), "a bigint, b bigint, n bigint")
     found = materialise(found, "links")
     links = found.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
