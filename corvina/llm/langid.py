@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import fit_on_executor, held_out, table
+from .common import fit_on_executor, held_out, materialise, table
 
 BITS = 16
 NGRAM = 4
-#: More values of ``lang`` than this are refused, so what is broadcast and fitted stays bounded.
-MOST_LANGUAGES = 1000
+#: EM ends when a round gains less than SETTLED a n-gram; a further language begins with the share LEAST.
+ROUNDS, SETTLED, LEAST = 200, 1e-5, 0.1
 UNDETERMINED = "und"
 _HAS_LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(x if 97 <= x < 123 or x >= 128 else 32 for x in range(256))
@@ -53,12 +53,19 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint32)
 
 
-def _em(like: np.ndarray, count: np.ndarray, theta: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
-    """Proportions after some rounds from ``theta``, and their log likelihood."""
+def _em(like: np.ndarray, count: np.ndarray, theta: np.ndarray, rounds: int = ROUNDS, settled: float = SETTLED) -> tuple[np.ndarray, float]:
+    """Proportions from ``theta`` on, until a round gains less than ``settled`` of log likelihood a n-gram (``rounds`` at most), and their log likelihood."""
     total = count.sum()
+    mixed = like @ theta
+    value = float(count @ np.log(mixed))
     for _ in range(rounds):
-        theta = theta * (like.T @ (count / (like @ theta))) / total
-    return theta, float(count @ np.log(like @ theta))
+        theta = theta * (like.T @ (count / mixed)) / total
+        mixed = like @ theta
+        new = float(count @ np.log(mixed))
+        gain, value = new - value, new
+        if gain < settled * total:
+            break
+    return theta, value
 
 
 def _counted(text: str | None, model: Languages) -> tuple[np.ndarray, np.ndarray] | None:
@@ -71,29 +78,37 @@ def _counted(text: str | None, model: Languages) -> tuple[np.ndarray, np.ndarray
     return count, model.logp[g[first]]
 
 
-def _mixture(count: np.ndarray, logp: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen columns of ``logp``, at least one n-gram given, and their shares: up to every language of share 0.02."""
+def _mixture(count: np.ndarray, logp: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen columns of ``logp``, at least one n-gram given, and their shares.
+
+    Forward selection: the best single language, then again and again the one that raises
+    the mixture's likelihood most steeply from where it stands, refitted by EM, as long
+    as the likelihood gains more than a language's penalty. No set size is fixed.
+    """
     single = count @ logp
     best = int(np.argmax(single))
-    chosen, share, value = np.array([best]), np.ones(1), float(single[best])
+    chosen, share, value = [best], np.ones(1), float(single[best])
     n = logp.shape[1]
-    if n > 1:
-        shift = logp.max(1)
-        like, base = np.exp(logp - shift[:, None]), float(count @ shift)
-        theta, _ = _em(like, count, np.full(n, 1.0 / n), rounds)
-        order = np.argsort(-theta, kind="stable")
-        cost = penalty * np.log(1.0 + count.sum())
-        for m in range(2, n + 1):
-            if theta[order[m - 1]] < 0.02:
-                break
-            part = order[:m]
-            t, ll = _em(like[:, part], count, theta[part] / theta[part].sum(), rounds)
-            if ll + base - cost * (m - 1) > value:
-                value, chosen, share = ll + base - cost * (m - 1), part, t
-    return chosen, share
-
-
-def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0) -> tuple[str, float, list[str], list[float]]:
+    if n == 1:
+        return np.array(chosen), share
+    shift = logp.max(1)
+    like, base = np.exp(logp - shift[:, None]), float(count @ shift)
+    cost, total = penalty * np.log(1.0 + count.sum()), count.sum()
+    while len(chosen) < n:
+        slope = like.T @ (count / (like[:, chosen] @ share))  # above total: a share taken from all others pays
+        slope[chosen] = 0.0
+        new = int(np.argmax(slope))
+        if slope[new] <= total:
+            break
+        part = [*chosen, new]
+        t, ll = _em(like[:, part], count, np.r_[share * (1 - LEAST), LEAST] if len(chosen) > 1 else np.full(2, 0.5))
+        if ll + base - cost <= value:
+            break
+        value, chosen, share = ll + base - cost, part, t
+    return np.array(chosen), share
+
+
+def infer(text: str | None, model: Languages, penalty: float = 3.0) -> tuple[str, float, list[str], list[float]]:
     """(language, its share, the language set, the set's shares), largest share first.
 
     A null text or one without a letter is ``und`` with share 0 and an empty set, as is
@@ -105,13 +120,13 @@ def infer(text: str | None, model: Languages, rounds: int = 8, penalty: float =
     count, logp = got
     if not len(count):  # a text of single letters: all languages are alike
         return model.names[0], 1.0 / len(model.names), [model.names[0]], [1.0]
-    chosen, share = _mixture(count, logp, rounds, penalty)
+    chosen, share = _mixture(count, logp, penalty)
     by = np.argsort(-share, kind="stable")
     names, shares = [model.names[i] for i in chosen[by]], share[by].tolist()
     return names[0], min(1.0, max(0.0, shares[0])), names, shares
 
 
-def standing(text: str | None, model: Languages, rounds: int = 8, penalty: float = 3.0) -> float:
+def standing(text: str | None, model: Languages, penalty: float = 3.0) -> float:
     """The largest share that a language holds of the whole text, what no learned language explains counted in.
 
     All languages and a background where each n-gram is as likely as any other share the
@@ -124,11 +139,11 @@ def standing(text: str | None, model: Languages, rounds: int = 8, penalty: float
     count, logp = got
     if not len(count):
         return 1.0 / len(model.names)
-    chosen, share = _mixture(count, logp, rounds, penalty)
+    chosen, share = _mixture(count, logp, penalty)
     with_flat = np.c_[logp[:, chosen], np.full(len(count), -BITS * np.log(2.0))]
     shift = with_flat.max(1)
     like = np.exp(with_flat - shift[:, None])
-    known, ll = _em(like, count, np.r_[share, 1.0] / 2.0, 2 * rounds)
+    known, ll = _em(like, count, np.r_[share, 1.0] / 2.0)
     before = float(count @ np.log(like[:, :-1] @ share))
     return float((known[:-1] if ll - before > penalty * np.log(1.0 + count.sum()) else share).max())
 
@@ -150,25 +165,27 @@ def train(texts: list[str], langs: list[str], passes: int = 2, smooth: float = 0
     return model
 
 
-def fit_languages(docs: DataFrame, per_language: int = 600, max_doc_chars: int = 20_000) -> Languages:
+def fit_languages(docs: DataFrame, per_language: int = 600, max_doc_chars: int = 20_000, max_chars: int = 48_000_000) -> Languages:
     """Fitted on at most ``per_language`` texts of each non-null ``lang`` among rows not held out.
 
-    They're those with the smallest hash of their text, repeats counted once, and none
-    of over ``max_doc_chars``. The rank is cut before its shuffle, so no language's
-    texts gather anywhere.
+    They're those with the smallest hash of their text, repeats counted once, none of
+    over ``max_doc_chars``, and of each language as many as come to its even part of
+    ``max_chars``, so the fit's memory has one bound for any number of languages. The
+    rank is cut before its shuffle, so no language's texts gather anywhere.
     """
     slim = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_doc_chars)).select(
-        F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key")
+        F.col("lang").cast("string").alias("lang"), F.xxhash64("text").alias("key"), F.length("text").alias("n")
     )
-    ranked = slim.distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).filter(F.col("r") <= per_language)
-    cuts = ranked.groupBy("lang").agg(F.max("key").alias("cut")).limit(MOST_LANGUAGES + 1).collect()
-    if len(cuts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
-    cut = docs.sparkSession.createDataFrame([tuple(r) for r in cuts], "lang string, cut long")
+    by_key = Window.partitionBy("lang").orderBy("key", "n")
+    ranked = slim.distinct().withColumn("r", F.row_number().over(by_key)).filter(F.col("r") <= per_language)
+    ranked = ranked.withColumn("run", F.sum("n").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    languages = docs.filter(~held_out() & F.col("lang").isNotNull()).agg(F.count_distinct(F.col("lang").cast("string"))).first()[0]
+    kept = ranked.filter((F.col("run") <= max_chars / max(1, languages)) | (F.col("r") == 1))
+    cut = materialise(kept.groupBy("lang").agg(F.max("key").alias("cut")), "cuts")
     rows = (
         docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= max_doc_chars))
         .select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("key"))
-        .join(F.broadcast(cut), "lang")
+        .join(cut, "lang")
         .filter(F.col("key") <= F.col("cut"))
         .dropDuplicates(["lang", "key"])
         .select("lang", "text")
