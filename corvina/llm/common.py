@@ -87,7 +87,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], max_ro
     empty, one of over ``max_doc_chars`` isn't used. The slim label rows are cut first
     (a top-k by hash of the id), so that side's size is bounded before it is broadcast;
     of the texts found, those are taken, in hash order, whose running length stays
-    within ``max_chars``. The same rows come at every rerun, however tables are laid out.
+    within ``max_chars``; no task ranks more than slim rows. The same rows come at every rerun, however tables are laid out.
     """
     from pyspark.sql import Window
 
@@ -99,21 +99,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, names: list[str], max_ro
         .orderBy(F.xxhash64("__id"), *[f"__{n}" for n in names])
         .limit(max_rows)
     )
+    # texts are ranked by their hashes and lengths, and fetched once it is known which
     text = F.coalesce(F.col("text"), F.lit(""))
+    own = docs.select("doc_id", text.alias("text")).withColumn("__h", F.xxhash64("text")).withColumn("__n", F.length("text"))
     found = (
-        docs.select("doc_id", text.alias("text"))
-        .filter(F.length("text") <= max_doc_chars)
+        own.drop("text").filter(F.col("__n") <= max_doc_chars)
         .join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
-        .select("doc_id", "text", *[F.col(f"__{n}").alias(n) for n in names])
-        .dropDuplicates(["doc_id", "text", *names])
+        .select("doc_id", "__h", "__n", *[F.col(f"__{n}") for n in names])
+        .distinct()
     )
-    order = Window.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(max_rows)
-        .withColumn("__run", F.sum(F.length("text")).over(order))
+    order = Window.orderBy(F.xxhash64("doc_id"), "__h", *[f"__{n}" for n in names]).rowsBetween(Window.unboundedPreceding, 0)
+    slim = (
+        found.orderBy(F.xxhash64("doc_id"), "__h", *[f"__{n}" for n in names]).limit(max_rows)
+        .withColumn("__run", F.sum("__n").over(order))
         .filter(F.col("__run") <= max_chars)
-        .drop("__run")
+        .select(F.col("doc_id").alias("__id"), F.col("__h").alias("__k"), *[F.col(f"__{n}").alias(n) for n in names])
     )
+    got = own.join(F.broadcast(slim), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__k")))
+    return got.select("doc_id", "text", *names).dropDuplicates(["doc_id", "text", *names])
 
 
 def fit_on_executor(sample: DataFrame, fit: Callable[[list[tuple]], object]) -> object:

@@ -8,7 +8,6 @@ probability that its own label has shaped.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,13 +21,13 @@ from .common import fit_on_executor, held_out, labelled_sample, table
 from .ftrl import fit, sigmoid, slots
 
 BITS = 18
-#: The chain's order. ``labels`` marks only toxic rows, so the two finer links before the
-#: last get silver labels: a row marked toxic that has a word of the seed list.
-SEEDS = {
-    "insult": "idiot moron loser clown scum stupid fool jerk",
-    "contempt": "pathetic worthless disgusting trash garbage filthy",
-}
-LINKS = (*SEEDS, "toxic")
+#: The chain's order. ``labels`` marks only toxic rows; the two finer links' labels are
+#: learned: toxic rows fall into two kinds by which telling words come together.
+KINDS = ("kind_a", "kind_b")
+LINKS = (*KINDS, "toxic")
+#: A telling slot: in at least so many toxic rows, and so many times likelier there.
+LEAST_ROWS = 5
+TELLING = 8.0
 FOLDS = 3
 #: Rows outside the toxic class score about 0.05, so the cut lies below one half.
 THRESHOLD = 0.3
@@ -67,10 +66,9 @@ def probabilities(f: np.ndarray, chain: Chain) -> list[float]:
     return out
 
 
-def train_chain(texts: list[str | None], labels: np.ndarray, folds: int = FOLDS, epochs: int = 2) -> Chain:
-    """``labels`` has a column per link. A link without a positive row predicts about none."""
+def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS, epochs: int = 2) -> Chain:
+    """``rows`` of feature slots; ``labels`` has a column per link. A link without a positive row predicts about none."""
     size, k = 1 << BITS, labels.shape[1]
-    rows = [features(t).astype(np.int32) for t in texts]
     fold = np.random.default_rng(3).permutation(len(rows)) % folds
     opts = {"alpha": 0.3, "l1": 3.0, "l2": 0.1}
     words, earlier, out_of_fold = np.zeros((size + 1, k)), np.zeros((k, k)), np.zeros((len(rows), 0))
@@ -103,25 +101,62 @@ def train_chain(texts: list[str | None], labels: np.ndarray, folds: int = FOLDS,
                     slot, x = full[i]
                     p[i] = sigmoid(float(w[slot] @ x) + w[-1])
             out_of_fold = np.c_[out_of_fold, p]
+    if not rows:
+        words[size] = -35.0
     return Chain(words, earlier)
 
 
-def silver(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
-    """A label column per link: toxic and a seed word for the finer links, then toxic itself."""
-    columns = []
-    for seeds in SEEDS.values():
-        pattern = re.compile(r"\b(?:" + "|".join(seeds.split()) + r")\b", re.I)
-        columns.append([float(y == 1 and bool(pattern.search(t or ""))) for t, y in zip(texts, toxic, strict=True)])
-    return np.array([*columns, (toxic == 1).astype(float)]).T
+def kinds(rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """A label column per link from the toxic labels of rows of feature slots: two kinds of toxic rows, then toxic itself.
+
+    Slots that tell toxic rows from others are weighed by log-odds; toxic rows are parted
+    in two by spherical means over them, begun at the row with the most and the row least
+    like it, the kind with more rows first. A toxic row without a telling slot (label
+    noise, mostly) is of neither kind, as are all where nothing tells.
+    """
+    bad = toxic == 1
+    out = np.zeros((len(rows), 3))
+    out[:, 2] = bad
+    size = 1 << BITS
+    count = [np.zeros(size), np.zeros(size)]
+    for f, y in zip(rows, bad, strict=True):
+        count[int(y)][f] += 1
+    n = [max(1, int((~bad).sum())), max(1, int(bad.sum()))]
+    odds = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
+    telling = np.flatnonzero((count[1] >= LEAST_ROWS) & (odds >= np.log(TELLING)))
+    place = np.full(size, -1)
+    place[telling] = np.arange(len(telling))
+    which = [i for i in np.flatnonzero(bad) if (place[rows[i]] >= 0).any()]
+    if len(which) < 2:
+        return out
+    x = np.zeros((len(which), len(telling)))
+    for k, i in enumerate(which):
+        at = place[rows[i]]
+        x[k, at[at >= 0]] = odds[telling[at[at >= 0]]]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    first = int(np.argmax((x > 0).sum(1)))
+    means = x[[first, int(np.argmin(x @ x[first]))]]
+    of = np.zeros(len(which), int)
+    for _ in range(rounds):
+        of = np.argmax(x @ means.T, axis=1)
+        new = np.array([x[of == k].sum(0) if (of == k).any() else means[k] for k in (0, 1)])
+        new /= np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
+        if np.allclose(new, means):
+            break
+        means = new
+    if (of == 1).sum() > (of == 0).sum():
+        of = 1 - of
+    out[which, of] = 1
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 7000, max_chars: int = 28_000_000, max_doc_chars: int = 200_000) -> Chain:
-    """A chain fitted on the bounded labelled sample (see ``labelled_sample``)."""
+    """A chain fitted on the bounded labelled sample (see ``labelled_sample``). Without labels every link predicts none."""
     sample = labelled_sample(docs, labels, ["toxic"], max_rows, max_chars, max_doc_chars).select("doc_id", "text", "toxic")
 
     def fit_rows(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        texts = [r[1] for r in rows]
-        chain = train_chain(texts, silver(texts, np.array([r[2] for r in rows], float)))
+        slots_of = [features(r[1]).astype(np.int32) for r in rows]
+        chain = train_chain(slots_of, kinds(slots_of, np.array([r[2] for r in rows], float)))
         some = np.flatnonzero(chain.words.any(1))
         return some, chain.words[some], chain.earlier
 
@@ -146,7 +181,11 @@ def toxicity_column(spark: SparkSession, chain: Chain, text: str = "text"):
 
 
 def reject_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose last link stays below ``threshold``, all columns as they came."""
+    """The rows of ``docs`` whose last link stays below ``threshold``, all columns as they came.
+
+    Null and empty texts have no slot and score the bias; where no label was learned
+    from, all rows stay.
+    """
     return docs.filter(toxicity_column(docs.sparkSession, chain)[chain.names[-1]] < threshold)
 
 
