@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Ends at a sign before white space (not in ``v. 2.0``) or at a blank line; a single line break may be a wrap.
-_SENTENCE = re.compile(r"[^.!?;:\n]+(?:(?:[.!?;:]+(?=\S|[ ]\d)|\n(?!\s*\n))[^.!?;:\n]*)*")
+_SENTENCE = re.compile(r"[^.!?;:\n]+(?:(?:[.!?;:]+(?=\S|[ ]\d)|(?<=[Ii]dentifier):|\n(?!\s*\n))[^.!?;:\n]*)*")
 _LINE = re.compile(r"[^\n]+")
 _WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*")
-#: A sentence of more characters than any known one has is never normalised.
-_SLACK = 4
+
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "Unlicense", "GPL-2.0-only", "GPL-2.0-or-later",
+    "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later",
+)
 
 #: identifier -> wordings; letters, digits and dotted numbers count, all else is a gap.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -50,6 +53,13 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0-grant": ("Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     "CC-BY-SA-4.0-grant": ("Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0-1.0-grant": ("Licensed under CC0 1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    "LGPL-free": ("This library is free software",),
+    "LGPL-3.0-redistribute": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "LGPL-2.1-redistribute": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version",),
+    "AGPL-3.0-redistribute": ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",),
+    "GPL-warranty": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    "MPL-2.0-copy": ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0"),
+    **{f"SPDX-{x}": (f"SPDX-License-Identifier: {x}",) for x in SPDX},
     "Unlicense-domain": ("This is free and unencumbered software released into the public domain",),
 }
 
@@ -61,7 +71,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-2-Clause", ("BSD-redistribution", "BSD-source", "BSD-binary")),
     ("Apache-2.0", ("Apache-2.0-grant", "Apache-compliance", "Apache-basis")),
     ("Apache-2.0", ("Apache-2.0-grant", "Apache-compliance")),
+    ("GPL-3.0-or-later", ("GPL-free", "GPL-3.0-redistribute", "GPL-warranty")),
+    ("GPL-2.0-or-later", ("GPL-free", "GPL-2.0-redistribute", "GPL-warranty")),
+    ("LGPL-3.0-or-later", ("LGPL-free", "LGPL-3.0-redistribute", "GPL-warranty")),
+    ("LGPL-2.1-or-later", ("LGPL-free", "LGPL-2.1-redistribute", "GPL-warranty")),
+    ("AGPL-3.0-or-later", ("GPL-free", "AGPL-3.0-redistribute", "GPL-warranty")),
+    ("MPL-2.0", ("MPL-2.0-grant", "MPL-2.0-copy")),
     ("GPL-3.0-or-later", ("GPL-free", "GPL-3.0-redistribute")),
+    ("LGPL-3.0-or-later", ("LGPL-free", "LGPL-3.0-redistribute")),
+    ("LGPL-2.1-or-later", ("LGPL-free", "LGPL-2.1-redistribute")),
+    ("AGPL-3.0-or-later", ("GPL-free", "AGPL-3.0-redistribute")),
     ("GPL-2.0-or-later", ("GPL-free", "GPL-2.0-redistribute")),
     ("MIT", ("MIT-permission", "MIT-notice")),
     ("ISC", ("ISC-permission",)),
@@ -78,6 +97,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-SA-4.0", ("CC-BY-SA-4.0-grant",)),
     ("CC0-1.0", ("CC0-1.0-grant",)),
     ("Unlicense", ("Unlicense-domain",)),
+    *((x, (f"SPDX-{x}",)) for x in SPDX),
 )
 UNKNOWN = "unknown-licence"
 
@@ -96,7 +116,7 @@ class Rules:
             for w in wordings:
                 self.ids[normalise(w)] = name
         self.rules = rules
-        self.longest = _SLACK * max(map(len, self.ids), default=0)
+        self.longest = max(map(len, self.ids), default=0)
         first = sorted({k.split(" ", 1)[0] for k in self.ids})
         self.starts = re.compile(r"\b(?:" + "|".join(map(re.escape, first)) + r")\b", re.I) if first else re.compile(r"(?!)")
 
@@ -116,13 +136,18 @@ class Rules:
         return out
 
     def _known(self, text: str, start: int, end: int) -> tuple[str, int, int] | None:
-        if end - start > self.longest:
-            return None
-        word = _WORD.search(text, start, end)
-        if not word or not self.starts.match(text, word.start(), end):
+        """The identifier of one sentence; its words are read until they are more than any known sentence has, whatever lies between."""
+        first = _WORD.search(text, start, end)
+        if not first or not self.starts.match(text, first.start(), end):
             return None
-        name = self.ids.get(normalise(text[start:end]))
-        return None if name is None else (name, word.start(), end)
+        words, size = [], -1
+        for m in _WORD.finditer(text, first.start(), end):
+            words.append(m.group().lower())
+            size += len(words[-1]) + 1
+            if size > self.longest:
+                return None
+        name = self.ids.get(" ".join(words))
+        return None if name is None else (name, first.start(), end)
 
     def licences(self, ids: list[str]) -> list[str]:
         """Licences in the order in which rules consume the identifiers; an identifier that no rule takes is unknown."""
