@@ -63,6 +63,31 @@ def test_targets_reshare(spark):
     assert t["a"] == 20 and t[None] == 0 and t["b"] + t["c"] == pytest.approx(1.5 * 2010 - 20) and t["c"] == pytest.approx(2 * 1000 if 2 * t["b"] > 2000 else 2 * t["b"])
 
 
+def test_take_mix_meets_budgets_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNROLL", 3)
+    rows = [(7, "a b c d e f g", "en", "s", None, 9, "k")] * 2 + [(None, f"x y {i}", "en", "s", None, i, "k") for i in range(6)] + [(None, "same text here", "en", "t", None, 1, "k")] * 11 + [(3, None, None, None, None, 0, "k")] * 2
+    d = spark.createDataFrame(rows, DOCS)
+    for share in (0.4, 0.73, 1.5):
+        got = mixing.take_mix(d, share).collect()
+        plan = {r["source"]: int(r["target"] + 0.5) for r in mixing.mix(d, share).collect()}
+        assert mixing.mix(d, share).count() == len(rows)
+        for s in ("s", "t"):
+            mine = [r for r in got if r["source"] == s]
+            assert sum(r["taken"] for r in mine) == plan[s] == sum(r["taken"] for r in mixing.mix(d, share).collect() if r["source"] == s)
+            assert all(0 < r["taken"] <= 2 * r["size"] and r["size"] == len(r["text"].split()) for r in mine)
+        assert not any(r["source"] is None for r in got) and sorted(map(str, got)) == sorted(map(str, mixing.take_mix(d.repartition(5), share).collect()))
+    assert mixing.take_mix(d.limit(0)).count() == 0
+    long_ = mixing.mix(docs_of(spark, [prose(1, 300_000), "one"])).collect()
+    assert {r["size"] for r in long_} == {300_000, 1}
+
+
+def test_ordered_prefix_in_ranges(spark):
+    names = [f"s{i:03d}" for i in range(100)] + [None]
+    s = spark.createDataFrame([(n, float(i * i)) for i, n in enumerate(names)], "source string, v double").repartition(7)
+    got = {r["source"]: (r["place"], r["before_v"]) for r in mixing.ordered_prefix(s, ["source"], ["v"]).collect()}
+    assert got == {n: (i, float(sum(k * k for k in range(i)))) for i, n in enumerate(names)}
+
+
 # -- decontamination
 
 
