@@ -18,8 +18,11 @@ WINDOW = 10
 K = 5
 SPAN = WINDOW - K + 1
 #: A look-up of one byte a slot over the benchmark's fingerprints, probed twice before the
-#: join; of bounded size. Beyond it more candidates reach the join, and none is lost.
-MIN_SLOTS, MAX_SLOTS = 1 << 14, 1 << 18
+#: join: 32 slots a fingerprint, 16 MB at most (then about one foreign k-gram in 70 passes
+#: at a million fingerprints). Beyond that more candidates reach the join, and none is lost.
+MIN_SLOTS, MAX_SLOTS, BLOCK = 1 << 14, 1 << 24, 1 << 8
+#: Keys that a fingerprint is spread over in the join, as many documents may share one.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,15 +57,19 @@ def _places(g: str, test) -> Column:
 
 
 def _probes(h: Column, size: int) -> tuple[Column, Column]:
-    return h.bitwiseAND(size - 1).cast("int"), F.shiftright(h, 24).bitwiseAND(size - 1).cast("int")
+    return h.bitwiseAND(size - 1).cast("int"), F.shiftright(h, 32).bitwiseAND(size - 1).cast("int")
 
 
 def _lookup(hashes: DataFrame) -> bytearray:
-    """A byte per slot, 1 where a probe of some ``h`` falls; at most MAX_SLOTS of them come to the driver."""
+    """A byte per slot, 1 where a probe of some ``h`` falls. It comes to the driver in blocks that executors make, MAX_SLOTS bytes at most."""
     size = min(MAX_SLOTS, max(MIN_SLOTS, 1 << (32 * hashes.count()).bit_length()))
+    probes = hashes.select(F.explode(F.array(*_probes(F.col("h"), size))).alias("s"))
+    within = F.collect_set(F.col("s").bitwiseAND(BLOCK - 1))
+    blocks = probes.groupBy(F.shiftright("s", 8).alias("block")).agg(within.alias("x"))
+    spelt = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.when(F.array_contains("x", i), "01").otherwise("00")), "")
     slots = bytearray(size)
-    for (s,) in hashes.select(F.explode(F.array(*_probes(F.col("h"), size)))).distinct().collect():
-        slots[s] = 1
+    for block, part in blocks.select("block", F.unhex(spelt)).toLocalIterator():
+        slots[block * BLOCK : (block + 1) * BLOCK] = part
     return slots
 
 
@@ -104,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     one window. n_hit counts the document's words inside any occurrence of a window,
     n_items the items with such windows; those of null item_id are sought too, count as
     one item together and have no place in items_sha256. Null texts have no words and hit nothing;
-    repeated rows and ids each get their row; items of equal words are sought once and
+    repeated rows and ids each get their row, by their own text; items of equal words are sought once and
     all counted; an empty benchmark hits nothing. Other columns aren't looked at.
     """
     return _report(docs.select("doc_id", "text"), benchmark)
@@ -130,14 +137,16 @@ def _report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     d = materialise(d, "candidates")
 
     c = d.select("row", F.explode("c").alias("c")).select("row", "c.*")
-    m = marks.select("k", "h", F.col("around").alias("item_around"), F.col("off").alias("item_off"), "m", "class")
+    c = c.withColumn("salt", F.pmod(F.xxhash64("row", "i"), F.lit(SALTS)).cast("int"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    m = marks.select("k", "h", F.col("around").alias("item_around"), F.col("off").alias("item_off"), "m", "class", salts)
     same = lambda s: (  # noqa: E731 - a window that starts s words before the fingerprint, on both sides
         (F.col("off") >= s)
         & (F.col("item_off") >= s)
         & (F.size("item_around") >= F.col("item_off") - s + F.col("m"))
         & (F.slice("around", F.col("off") - s + 1, F.col("m")) == F.slice("item_around", F.col("item_off") - s + 1, F.col("m")))
     )
-    windows = c.join(m, ["k", "h"]).select("row", "class", "i", "m", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), same)).alias("s"))
+    windows = c.join(m, ["k", "h", "salt"]).select("row", "class", "i", "m", F.explode(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), same)).alias("s"))
     windows = windows.select("row", "class", (F.col("i") - F.col("s")).alias("start"), "m").distinct()
     hit = windows.groupBy("row").agg(F.collect_set(F.struct("start", "m")).alias("x")).select(
         "row", F.size(F.array_distinct(F.flatten(F.transform("x", lambda x: F.sequence(x["start"], x["start"] + x["m"] - 1))))).alias("n_hit")
