@@ -50,19 +50,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` gave and nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+        _WRITTEN.remove((t.sparkSession, t._scratch))
 
 
 def clear_scratch() -> None:
-    """Delete every scratch table that this interpreter wrote."""
+    """Delete the scratch tables that this interpreter wrote and that results may have read until now; a session that has ended deletes none."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may have ended already
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
             continue
+        _delete(spark, path)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

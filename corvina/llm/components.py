@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _settled(e):
             break
-        e = materialise(_small_star(materialise(_large_star(e), "cc")), "cc")
+        large = materialise(_large_star(e), "cc")
+        small = materialise(_small_star(large), "cc")
+        discard(e, large)  # whose rows the next table holds
+        e = small
     else:
         raise RuntimeError("components didn't settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
