@@ -194,7 +194,7 @@ def fit_languages(docs: DataFrame, per_language: int = 600, max_doc_chars: int =
 
 
 def language_column(spark: SparkSession, model: Languages, text: str = "text"):
-    """A struct column (lang, share, langs, shares) for each whole text."""
+    """A struct column (lang, share, langs, shares) for each whole text; null texts and those without a letter are ``und`` with share 0 and no set."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,share:double,langs:array<string>,shares:array<double>>")

@@ -67,7 +67,7 @@ def probabilities(f: np.ndarray, chain: Chain) -> list[float]:
 
 
 def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS, epochs: int = 2) -> Chain:
-    """``rows`` of feature slots; ``labels`` has a column per link. A link without a positive row predicts about none."""
+    """``rows`` of feature slots; ``labels`` has a column per link. A link without a positive row predicts none."""
     size, k = 1 << BITS, labels.shape[1]
     fold = np.random.default_rng(3).permutation(len(rows)) % folds
     opts = {"alpha": 0.3, "l1": 3.0, "l2": 0.1}
@@ -88,6 +88,10 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS,
             return np.r_[rows[i], np.arange(size, size + len(p))], np.r_[np.ones(len(rows[i])), p]
 
     for j in range(k):
+        if not labels[:, j].any():
+            words[size, j] = -35.0
+            out_of_fold = np.c_[out_of_fold, np.zeros(len(rows))]
+            continue
         wide = size + j
         full = WithEarlier(np.arange(len(rows)))
         w = fit(full, labels[:, j], wide, epochs, **opts)
@@ -101,8 +105,6 @@ def train_chain(rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS,
                     slot, x = full[i]
                     p[i] = sigmoid(float(w[slot] @ x) + w[-1])
             out_of_fold = np.c_[out_of_fold, p]
-    if not rows:
-        words[size] = -35.0
     return Chain(words, earlier)
 
 
