@@ -38,6 +38,7 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("body")
         self.open = [self.root]
+        self.heads = 0
 
     def _close(self, tags: set[str], fence: set[str]) -> None:
         at = None
@@ -54,8 +55,11 @@ class _Tree(HTMLParser):
             if tag == "body":
                 self._close({"head"}, set())
             return
-        if tag not in _HEAD_ONLY and any(n.tag == "head" for n in self.open) and tag != "head":
+        if tag == "head":
+            self.heads += 1
+        elif tag not in _HEAD_ONLY and self.heads:
             self._close({"head"}, set())
+            self.heads = 0
         formats: list[str] = []
         if tag in _BLOCK:
             for i in range(len(self.open) - 1, 0, -1):
@@ -96,44 +100,44 @@ def parse(markup: str) -> Node:
 def text_of(n: Node | str) -> str:
     """All text below, white space collapsed, blocks and breaks parting words."""
     out: list[str] = []
-
-    def walk(x: Node | str) -> None:
+    todo: list[Node | str] = [n]
+    while todo:  # a stack of its own: markup may nest as deep as it likes
+        x = todo.pop()
         if isinstance(x, str):
             out.append(x)
         elif x.tag not in _DROP:
             edge = " " if x.tag in _BLOCK or x.tag in ("br", "li", "tr", "td", "th") else ""
             out.append(edge)
-            for k in x.kids:
-                walk(k)
-            out.append(edge)
-
-    walk(n)
+            todo.append(edge)
+            todo.extend(reversed(x.kids))
     return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
 def _find(n: Node, tags: set[str]) -> list[Node]:
-    out = []
-    for k in n.kids:
-        if isinstance(k, Node):
-            if k.tag in tags:
-                out.append(k)
-            out += _find(k, tags)
+    """Elements below of one of the tags, in document order."""
+    out, todo = [], [k for k in reversed(n.kids) if isinstance(k, Node)]
+    while todo:
+        x = todo.pop()
+        if x.tag in tags:
+            out.append(x)
+        todo.extend(k for k in reversed(x.kids) if isinstance(k, Node))
     return out
 
 
 def html_to_markdown(markup: str | None) -> str:
     """Headings, paragraphs, lists, emphasis, quotes, rules and tables as markdown; page furniture and pictures go."""
     out: list[str] = []
-
-    def walk(n: Node | str) -> None:
+    todo: list[Node | str] = [parse(markup or "")]
+    while todo:
+        n = todo.pop()
         if isinstance(n, str):
             t = re.sub(r"\s+", " ", n)
             if t.strip():
                 out.append(t)
-            return
+            continue
         t = n.tag
         if t in _DROP or t == "img":
-            return
+            continue
         if t in ("h1", "h2", "h3", "h4", "h5", "h6"):
             out.append(f"\n\n{'#' * min(5, int(t[1]))} {text_of(n)}\n\n")
         elif t == "p":
@@ -158,10 +162,7 @@ def html_to_markdown(markup: str | None) -> str:
                 shown.insert(1, "| " + " | ".join("---" for _ in rows[0]) + " |\n")
                 out.append("\n" + "".join(shown) + "\n")
         else:
-            for k in n.kids:
-                walk(k)
-
-    walk(parse(markup or ""))
+            todo.extend(reversed(n.kids))
     return re.sub(r"\n{3,}", "\n\n", "".join(out).strip())
 
 
@@ -213,3 +214,7 @@ def to_markdown(c: Column) -> Column:
 
 def to_text(c: Column) -> Column:
     return _column(html_to_text, c)
+
+
+def to_html(c: Column) -> Column:
+    return _column(markdown_to_html, c)
