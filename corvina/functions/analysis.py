@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,6 +58,7 @@ def _short(w: str, r1: int) -> bool:
     return len(w) > 2 and w[-1] not in _V + "wxY" and w[-2] in _V and w[-3] not in _V
 
 
+@lru_cache(maxsize=1 << 18)
 def stem(word: str) -> str:
     """Porter2 (English Snowball) stem of a lower-case word."""
     w = word.lstrip("'")

@@ -23,10 +23,6 @@ def parent(path: Column) -> Column:
     return F.when(F.instr(path, ".") > 0, F.regexp_replace(path, r"\.[^.]*$", ""))
 
 
-def depth(path: Column) -> Column:
-    return F.size(F.split(path, r"\."))
-
-
 def is_root(path: Column) -> Column:
     return F.instr(path, ".") == 0
 

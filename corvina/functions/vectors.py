@@ -16,10 +16,6 @@ def cosine_similarity(a: Column, b: Column, kind: str = "double") -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(F.try_divide(_dot(a, b, kind), norms))
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - cosine_similarity(a, b)
-
-
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

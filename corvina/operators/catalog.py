@@ -92,11 +92,11 @@ def first_chunk(chunk: DataFrame, document_id: str) -> DataFrame:
 
 def descendants(tag: DataFrame, tag_id: str, strict_parity: bool = False) -> DataFrame:
     """Tags below one, of its domain; ``strict_parity`` looks across domains."""
-    root = F.broadcast(tag.filter(F.col("id") == tag_id).select(F.col("path").alias("__root"), F.col("domain_id").alias("__domain")))  # one row
-    below = F.startswith(F.col("path"), F.concat("__root", F.lit(".")))
-    if not strict_parity:
-        below = below & (F.col("domain_id") == F.col("__domain"))
-    return tag.join(root, below).drop("__root", "__domain")
+    root = tag.filter(F.col("id") == tag_id).select("path", "domain_id").first()
+    if root is None:
+        return tag.filter(F.lit(False))
+    below = F.startswith(F.col("path"), F.lit(root["path"] + "."))
+    return tag.filter(below if strict_parity else below & (F.col("domain_id") == root["domain_id"]))
 
 
 def missing_ancestors(tag: DataFrame, rows: DataFrame) -> DataFrame:
@@ -141,6 +141,11 @@ def tag_tree(tag: DataFrame) -> DataFrame:
     )
 
 
+def default_domain(domain: DataFrame) -> DataFrame:
+    """The domain that is taken where none is asked for: the first by name."""
+    return domain.orderBy("name", "id").limit(1)
+
+
 def tag_labels(document: DataFrame, tag: DataFrame) -> DataFrame:
     """(id, labels): a document's tag paths as names, or as the path where no tag has it."""
     d = document.select("id", "domain_id", F.posexplode("tags").alias("i", "path"))

@@ -4,8 +4,9 @@ built by higher-order functions, and only token splitting and embedding need Pyt
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import islice
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +31,7 @@ def strategy(document: DataFrame, domain: DataFrame, options: Options = Options(
     )
 
 
-# -- headings ---------------------------------------------------------------------------------
+# headings
 
 _HEADING = r"^(#{1,6}) (.+)$"
 
@@ -100,7 +101,7 @@ def split_headings(df: DataFrame, markdown: str = "markdown", preferred: int = 2
     return df.withColumn(out, chunks).drop("__level", "__0", "__-1", "__1", "__2", "__pick")
 
 
-# -- line heuristics --------------------------------------------------------------------------
+# line heuristics
 
 
 def heuristic_segments(page: Column, b: Boundary) -> Column:
@@ -126,26 +127,46 @@ def split_heuristic(df: DataFrame, pages: str = "pages", boundary: Boundary = Bo
     return df.withColumn(out, F.filter(tx.merge_short(F.col("__flat"), boundary.min_chars), lambda s: tx.trim_ws(s) != "")).drop("__flat")
 
 
-# -- tokens and overlap -----------------------------------------------------------------------
+# tokens and overlap
 
 
-def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int | None = None, tokens: Callable[[str], list[str]] | None = None) -> list[str]:
+Spans = Callable[[str], list[tuple[int, int]]]
+
+
+def regex_spans(text: str) -> list[tuple[int, int]]:
+    """The offline default: words and signs, each with the white space before it."""
+    return [m.span() for m in _TOKENS.finditer(text)]
+
+
+@lru_cache(maxsize=4)
+def vocabulary_spans(path: str) -> Spans:
+    """Character spans of a byte-pair vocabulary's tokens, from a ``tokenizers`` file."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+
+    # tokens inside one character all end with it
+    return lambda text: t.encode(text, add_special_tokens=False).offsets
+
+
+def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int | None = None, spans: Spans = regex_spans) -> list[str]:
     """Chunks of at most ``size`` tokens, cut back to the last sentence end beyond ``min_chars``; crumbs are dropped.
 
-    Goes on until the text ends, unless ``most`` is given: what is left after so many
-    chunks is then one more, of any length.
+    The text is tokenised once; a chunk begins at the token in which the one before
+    ended. Goes on until the text ends, unless ``most`` is given: what is left after so
+    many chunks is then one more, of any length.
     """
     text = text or ""
-    end, at = len(text.rstrip()), 0
+    end, at, k = len(text.rstrip()), 0, 0
+    ends = [b for _, b in spans(text)]
     out: list[str] = []
-    while at < end:
+    while at < end and k < len(ends):
         if most is not None and len(out) >= most:
             if len(text[at:].strip()) > min_keep:
                 out.append(text[at:].strip())
             break
-        piece = "".join(tokens(text[at:])[:size] if tokens else (m.group() for m in islice(_TOKENS.finditer(text, at), size)))
-        if not piece:
-            break
+        piece = text[at : ends[min(k + size, len(ends)) - 1]]
         if len(piece) < end - at:
             stop = max(piece.rfind(s) for s in ".?!\n")
             if stop > min_chars:
@@ -153,14 +174,18 @@ def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_kee
         if len(piece.strip()) > min_keep:
             out.append(piece.strip())
         at += len(piece)
+        k = bisect_right(ends, at, k)
     return out
 
 
-def token_chunks(c: Column, size: int = 600) -> Column:
+def token_chunks(c: Column, size: int = 600, vocabulary: str | None = None) -> Column:
+    """``token_split`` of a column, by a vocabulary file's tokens where one is given."""
+
     @F.pandas_udf(STRINGS)
     def split(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spans = vocabulary_spans(vocabulary) if vocabulary else regex_spans
         for s in rows:
-            yield s.map(lambda t: token_split(t, size))
+            yield s.map(lambda t: token_split(t, size, spans=spans))
 
     return split.asNondeterministic()(c)
 
@@ -232,7 +257,7 @@ def split_structural(df: DataFrame, variant: str = "GENERIC", markdown: str = "m
     return df.withColumn(out, cap_structural(_once("__pre"), b.max_chars)).drop("__pre")
 
 
-# -- meaning ----------------------------------------------------------------------------------
+# meaning
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[str], list[float]]:
@@ -304,7 +329,7 @@ def split_semantic(df: DataFrame, key: str, text: str = "markdown", embed: Calla
 
 def chunk_documents(df: DataFrame, options: Options = Options(), embed: Callable[[str], list[float]] | None = None) -> DataFrame:
     """Rows (id, chunk_strategy, structural_variant, markdown, pages) split by their own strategy, as (…, chunks)."""
-    token = df.filter("chunk_strategy = 'TOKEN'").withColumn("chunks", overlap(token_chunks(F.array_join("pages", "\n"), options.chunk_tokens), options.overlap_chars))
+    token = df.filter("chunk_strategy = 'TOKEN'").withColumn("chunks", overlap(token_chunks(F.array_join("pages", "\n"), options.chunk_tokens, options.vocabulary), options.overlap_chars))
     semantic = split_semantic(df.filter("chunk_strategy = 'SEMANTIC'"), "id", "markdown", embed, options.semantic)
     out = token.unionByName(semantic)
     for variant in VARIANTS:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import analysis, paths, vectors
-from ..schema import Options
+from ..schema import NotFound, Options
 
 
 @dataclass(frozen=True)
@@ -51,23 +51,28 @@ def top(df: DataFrame, score: str, key: str, k: int, page: int = 0) -> DataFrame
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col(score).desc(), key)) + page * k)
 
 
-def lexical_leg(chunk: DataFrame, query: str, k: int, page: int = 0) -> DataFrame:
-    """(id, score, rank) of the best chunks that hold every lexeme of the query."""
-    wanted = analysis.query_lexemes(query)
+def lexical_leg(chunk: DataFrame, query: str | list[str], k: int, page: int = 0) -> DataFrame:
+    """(id, score, rank) of the best chunks that hold every lexeme of the query, a text or lexemes."""
+    wanted = analysis.query_lexemes(query) if isinstance(query, str) else query
     hits = chunk.filter(analysis.matches(F.col("lexemes"), wanted)).select("id", analysis.rank_cd(F.col("lexemes"), wanted).alias("score"))
     return top(hits, "score", "id", k, page)
 
 
 def inverted_index(chunk: DataFrame) -> DataFrame:
-    """(lexeme, id, domain_id, positions), to be stored sorted by lexeme: row groups then skip on its bounds."""
+    """(lexeme, id, domain_id, positions); see ``store_index``."""
     x = chunk.select("id", "domain_id", F.explode("lexemes").alias("x"))
-    index = x.groupBy(F.col("x.lexeme").alias("lexeme"), "id", "domain_id").agg(F.array_sort(F.collect_list("x.pos")).alias("positions"))
-    return index.repartitionByRange("lexeme").sortWithinPartitions("lexeme", "id")
+    return x.groupBy(F.col("x.lexeme").alias("lexeme"), "id", "domain_id").agg(F.array_sort(F.collect_list("x.pos")).alias("positions"))
 
 
-def index_match(index: DataFrame, query: str) -> DataFrame:
-    """(id, hits) from the inverted index: ids that every lexeme of the query leads to."""
-    wanted = analysis.query_lexemes(query)
+def store_index(index: DataFrame, path: str) -> DataFrame:
+    """Write an inverted index sorted by lexeme, once, and read it back: a later ``index_match`` skips row groups by its pushed filter."""
+    index.repartitionByRange("lexeme", "id").sortWithinPartitions("lexeme", "id").write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
+def index_match(index: DataFrame, query: str | list[str]) -> DataFrame:
+    """(id, hits) from the inverted index: ids that every lexeme of the query, a text or lexemes, leads to."""
+    wanted = analysis.query_lexemes(query) if isinstance(query, str) else query
     return index.filter(F.col("lexeme").isin(*wanted) if wanted else F.lit(False)).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("positions")).alias("hits")).filter(F.col("n") == len(wanted)).select("id", "hits")
 
 
@@ -82,18 +87,23 @@ def search_type(lexical: Column, vector: Column) -> Column:
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of two (id, rank) lists: (id, score, lex_rank, vec_rank, rank).
+    """Reciprocal rank fusion of two short (id, rank) lists: (id, score, lex_rank, vec_rank, rank).
 
-    Ties keep the lexical list's order, then the vector list's.
+    Ties keep the lexical list's order, then the vector list's. The rank's window holds
+    the lists' ids only, which are pools of a few dozen; ``fused`` is without it.
     """
+    order = Window.orderBy(F.col("score").desc(), F.col("lex_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last())
+    return fused(lexical, vector, k).withColumn("rank", F.row_number().over(order))
+
+
+def fused(lexical: DataFrame, vector: DataFrame, k: int = 60) -> DataFrame:
+    """(id, score, lex_rank, vec_rank) of two (id, rank) lists of any length, as one aggregation."""
     legs = lexical.select("id", "rank", F.lit(0).alias("leg")).unionByName(vector.select("id", "rank", F.lit(1).alias("leg")))
-    fused = legs.groupBy("id").agg(
+    return legs.groupBy("id").agg(
         F.sum(F.lit(1.0) / (k + F.col("rank"))).alias("score"),
         F.min(F.when(F.col("leg") == 0, F.col("rank"))).alias("lex_rank"),
         F.min(F.when(F.col("leg") == 1, F.col("rank"))).alias("vec_rank"),
     )
-    order = Window.orderBy(F.col("score").desc(), F.col("lex_rank").asc_nulls_last(), F.col("vec_rank").asc_nulls_last())
-    return fused.withColumn("rank", F.row_number().over(order))
 
 
 def hydrate(ranked: DataFrame, chunk: DataFrame, document: DataFrame, query: str) -> DataFrame:
@@ -144,3 +154,23 @@ def neighbours(chunk: DataFrame) -> DataFrame:
     """Each chunk id with those before and after it in its document, by index plus or minus one."""
     side = lambda by, name: chunk.select(F.col("document_id"), (F.col("chunk_index") + by).alias("chunk_index"), F.col("id").alias(name))
     return chunk.select("id", "document_id", "chunk_index").join(side(1, "previous_id"), ["document_id", "chunk_index"], "left").join(side(-1, "next_id"), ["document_id", "chunk_index"], "left")
+
+
+def search_page(
+    chunk: DataFrame, document: DataFrame, query: str | None, embed: Callable[[str], list[float]], domain_id: str | None, tags: list[str] | None = None, size: int = 20, page: int = 0, options: Options = Options()
+) -> Page | None:
+    """What a search form asks for: nothing without a query or a domain, and blank tags don't count."""
+    if not query or not query.strip() or domain_id is None:
+        return None
+    wanted = [t.strip() for t in tags or [] if t and t.strip()]
+    return hybrid_search(chunk, document, query, embed, domain_id, wanted or None, size, page, options)
+
+
+def chunk_detail(chunk: DataFrame, document: DataFrame, chunk_id: str) -> DataFrame:
+    """One chunk with its document's title and author and the ids before and after it; an id that isn't there raises."""
+    here = chunk.filter(F.col("id") == chunk_id).select("id", "document_id", "chunk_index", "content").first()
+    if here is None:
+        raise NotFound(chunk_id)
+    of = chunk.filter((F.col("document_id") == here["document_id"]) & F.col("chunk_index").between(here["chunk_index"] - 1, here["chunk_index"] + 1))
+    d = document.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("author").alias("document_author"))
+    return neighbours(of).filter(F.col("id") == chunk_id).join(d, "document_id").withColumn("content", F.lit(here["content"]))

@@ -64,6 +64,8 @@ class Options:
 
     chunk_strategy: str = "STRUCTURAL"
     chunk_tokens: int = 600
+    #: A ``tokenizers`` file whose tokens are counted; without one, words and signs are.
+    vocabulary: str | None = None
     overlap_chars: int = 200
     pool: int = 50
     rrf_k: int = 60
