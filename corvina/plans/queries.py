@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import analysis, paths, vectors
 from ..functions import text as tx
-from ..operators import catalog, chunking, layout, search
+from ..operators import answers, catalog, chunking, layout, ranks, search
 from ..sources import markup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,14 +59,17 @@ TERM = "ering"
 TF = f"len(list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda w: w = '{TERM}'))"
 
 
+def _query_vector(s: SparkSession, d: str) -> list[float]:
+    """The vector that is searched with: one row."""
+    return t(s, d, "embeddings").filter("vec_id = 0").select("embedding").first()["embedding"]
+
+
 def _legs(s: SparkSession, d: str, k: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = t(s, d, "documents").filter("lang = 'en'")
     tf = docs.select(F.col("doc_id").alias("id"), (analysis.term_frequency(F.col("text"), TERM) * F.lit(0.1)).alias("score")).filter("score > 0")
-    e = t(s, d, "embeddings")
-    q = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("q")))  # one row
-    ids = docs.select(F.col("doc_id").alias("id"))
-    sim = e.join(ids, F.col("vec_id") == F.col("id")).join(q).select("id", F.round(vectors.cosine_similarity(F.col("embedding"), F.col("q")), 9).alias("score"))
-    return docs, search.top(tf, "score", "id", k), search.top(sim, "score", "id", k)
+    sim = F.round(vectors.cosine_similarity(F.col("embedding"), vectors.literal(_query_vector(s, d))), 9)
+    near = t(s, d, "embeddings").select(F.col("vec_id").alias("id"), sim.alias("score")).join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return docs, search.top(tf, "score", "id", k), search.top(near, "score", "id", k)
 
 
 @query(f"""
@@ -79,7 +82,7 @@ SELECT (row_number() OVER (ORDER BY score DESC, lex_rank NULLS LAST, vec_rank NU
  CASE WHEN lex_rank IS NOT NULL AND vec_rank IS NOT NULL THEN 'BOTH' WHEN vec_rank IS NOT NULL THEN 'EMBEDDING' ELSE 'LEXICAL' END AS search_type
 FROM f JOIN documents d ON d.doc_id = f.id""")
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
-    """R11, R12, W2, O5, U1, P0e, J1: both legs' best fifty, fused, then hydrated."""
+    """R11, W2, O5, U1, P0e, J1: both legs' best fifty, fused, then joined to their documents."""
     docs, lex, vec = _legs(s, d)
     f = search.fuse(lex, vec)
     return f.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").select(
@@ -165,20 +168,20 @@ def p0f_upload_names(s: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", tx.file_suffix(F.col("url")).alias("suffix"), tx.title_or_filename(F.col("title"), F.col("url")).alias("title"))
 
 
-@query("SELECT coalesce(l.id, v.id) AS id, l.rank::INT AS lex_rank, v.rank::INT AS vec_rank FROM (SELECT doc_id AS id, doc_id + 1 AS rank FROM documents WHERE doc_id < 30) l FULL JOIN (SELECT vec_id AS id, vec_id - 9 AS rank FROM embeddings WHERE vec_id BETWEEN 10 AND 49) v ON l.id = v.id")
+@query("SELECT coalesce(l.id, v.id) AS id, l.rank::INT AS lex_rank, v.rank::INT AS vec_rank FROM (SELECT doc_id AS id, doc_id + 1 AS rank FROM documents) l FULL JOIN (SELECT vec_id + 100 AS id, vec_id + 1 AS rank FROM embeddings) v ON l.id = v.id")
 def j5_full_outer(s: SparkSession, d: str) -> DataFrame:
-    lex = t(s, d, "documents").filter("doc_id < 30").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1).cast("int").alias("rank"))
-    vec = t(s, d, "embeddings").filter("vec_id BETWEEN 10 AND 49").select(F.col("vec_id").alias("id"), (F.col("vec_id") - 9).cast("int").alias("rank"))
-    return search.fuse(lex, vec).select("id", "lex_rank", "vec_rank")
+    """J5 over two lists as long as their tables, which overlap in part."""
+    lex = t(s, d, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") + 1).cast("int").alias("rank"))
+    vec = t(s, d, "embeddings").select((F.col("vec_id") + 100).alias("id"), (F.col("vec_id") + 1).cast("int").alias("rank"))
+    return search.fused(lex, vec).select("id", "lex_rank", "vec_rank")
 
 
-@query("SELECT b.item_id, coalesce(d.text, 'gone ' || b.item_id) AS content FROM benchmark b LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0) d ON d.doc_id = b.item_id")
+@query("SELECT b.item_id, coalesce(d.text, 'gone ' || b.item_id) AS content FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 37")
 def j7_content_or_headline(s: SparkSession, d: str) -> DataFrame:
-    from ..operators.answers import contents
-
-    r = t(s, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.concat(F.lit("gone "), "item_id").alias("headline"))
-    c = t(s, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return contents(r, c).select(F.col("chunk_id").alias("item_id"), "content")
+    """Results whose chunk is there, and, past the last document, some whose isn't."""
+    r = t(s, d, "benchmark").select("item_id", (F.col("item_id") * 37).alias("chunk_id"), F.concat(F.lit("gone "), "item_id").alias("headline"))
+    c = t(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return answers.contents(r, c).select("item_id", "content")
 
 
 @query(f"WITH {TAGS} SELECT a.path, a.parent_path, p.name AS parent_name FROM (SELECT *, CASE WHEN position('.' IN path) > 0 THEN regexp_replace(path, '\\.[^.]*$', '') END AS parent_path FROM tag) a LEFT JOIN tag p ON p.path = a.parent_path")
@@ -216,10 +219,13 @@ HEADER_KEY = "CASE WHEN length(bare) >= 12 AND len(list_filter(regexp_split_to_a
 def a3_a4_repeated_lines(s: SparkSession, d: str) -> DataFrame:
     """Short lines by how many of a source's documents hold them, from a share on."""
     docs = t(s, d, "documents").select("source", "doc_id", "text")
-    x = docs.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("l")).select("source", "doc_id", tx.running_header_key(tx.trim_ws(F.col("l"))).alias("line"))
+    # a row's own lines are made distinct within the row, so nothing is shuffled for it
+    short = F.filter(F.split("text", "\n"), lambda l: F.length(tx.trim_ws(l)) <= 60 + 5)
+    keys = F.array_distinct(F.transform(short, lambda l: tx.running_header_key(tx.trim_ws(l))))
+    x = docs.select("source", F.explode(keys).alias("line")).filter((F.col("line") != "") & (F.length("line") <= 60))
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    c = x.filter((F.col("line") != "") & (F.length("line") <= 60)).distinct().groupBy("source", "line").agg(F.count(F.lit(1)).alias("c"))
-    return c.join(n, "source").filter(F.col("c") >= F.greatest(F.col("n") * 0.02, F.lit(2.0))).select("source", "line", "c")
+    c = x.groupBy("source", "line").agg(F.count(F.lit(1)).alias("c"))
+    return c.join(F.broadcast(n) if n.count() < 10_000 else n, "source").filter(F.col("c") >= F.greatest(F.col("n") * 0.02, F.lit(2.0))).select("source", "line", "c")
 
 
 def _glyphs(s: SparkSession, d: str) -> DataFrame:
@@ -246,16 +252,14 @@ def p4_column_bands(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_returnflag, list_sort(list(l_quantity::DOUBLE))[(count(*) // 2 + 1)::INT] AS median FROM lineitem GROUP BY l_returnflag")
 def a7_upper_median(s: SparkSession, d: str) -> DataFrame:
-    x = t(s, d, "lineitem").groupBy("l_returnflag").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("v"))
-    return x.select("l_returnflag", vectors.upper_median(F.col("v")).alias("median"))
+    x = t(s, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("v"))
+    return ranks.nth_value(x, "l_returnflag", "v", lambda n: F.floor(n / 2) + 1).select("l_returnflag", F.col("v").alias("median"))
 
 
 @query("SELECT lang, list_sort(list(n_chars))[(floor(0.85 * (count(*) - 1) + 0.5) + 1)::INT]::BIGINT AS p85 FROM documents GROUP BY lang")
 def a8_nearest_rank(s: SparkSession, d: str) -> DataFrame:
-    """A8 by rank within the group, so no group gathers in one array."""
-    w = Window.partitionBy("lang")
-    x = t(s, d, "documents").select("lang", "n_chars", F.row_number().over(w.orderBy("n_chars")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    return x.filter(F.col("r") == F.floor(F.lit(0.85) * (F.col("n") - 1) + 0.5) + 1).select("lang", F.col("n_chars").alias("p85"))
+    x = t(s, d, "documents").select("lang", "n_chars")
+    return ranks.nth_value(x, "lang", "n_chars", lambda n: F.floor(F.lit(0.85) * (n - 1) + 0.5) + 1).select("lang", F.col("n_chars").alias("p85"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
@@ -283,11 +287,11 @@ def w3_sliding_windows(s: SparkSession, d: str) -> DataFrame:
  f AS (SELECT label, vec_id, sum(CASE WHEN pd > 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS segment FROM (SELECT *, lag(d) OVER (PARTITION BY label ORDER BY vec_id) AS pd FROM dd))
  SELECT label, segment::BIGINT AS segment, min(vec_id) AS first_id, count(*) AS n FROM f GROUP BY label, segment""")
 def w4_w5_breakpoints(s: SparkSession, d: str) -> DataFrame:
-    """Distance to the next row, a new segment after each one above the threshold."""
-    o = Window.partitionBy("label").orderBy("vec_id")
+    """Distance to the next row, a new segment after each one above the threshold; a label of any size is cut into ranges."""
+    e = ranks.with_next(t(s, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", {"embedding": "nx"})
     dist = F.round(F.lit(1.0) - vectors.cosine_similarity(F.col("embedding"), F.col("nx")), 6)
-    x = t(s, d, "embeddings").withColumn("nx", F.lead("embedding").over(o)).select("label", "vec_id", dist.alias("d")).withColumn("pd", F.lag("d").over(o))
-    x = x.withColumn("segment", F.sum(F.when(F.col("pd") > 1.0, 1).otherwise(0)).over(o.rowsBetween(Window.unboundedPreceding, 0)))
+    x = e.select("label", "vec_id", F.coalesce((dist > 1.0).cast("int"), F.lit(0)).alias("ends"))
+    x = ranks.running_before(x, "label", "vec_id", "ends").withColumnRenamed("before", "segment")
     return x.groupBy("label", "segment").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
@@ -337,10 +341,18 @@ def c7_c8_chunks(s: SparkSession, d: str) -> DataFrame:
     return x.select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
 
 
+def _vocabulary() -> str | None:
+    try:
+        from public_tokenizers import path
+    except ModuleNotFoundError:
+        return None
+    return path("byte_bpe_50k.json")
+
+
 @query()
 def c2_token_chunks(s: SparkSession, d: str) -> DataFrame:
-    """C2 then C3 over whole texts."""
-    x = t(s, d, "documents").select("doc_id", chunking.token_chunks(F.col("text"), 200).alias("c"))
+    """C2 then C3 over whole texts, by a byte-pair vocabulary's tokens where its file is there."""
+    x = t(s, d, "documents").select("doc_id", chunking.token_chunks(F.col("text"), 200, _vocabulary()).alias("c"))
     return x.select("doc_id", F.posexplode(chunking.overlap(F.col("c"), 200)).alias("chunk_index", "content"))
 
 
@@ -388,10 +400,29 @@ def r7_lexical_search(s: SparkSession, d: str) -> DataFrame:
  SELECT doc_id, len(list_filter(l, lambda x: x = 'the' OR x = 'ering'))::BIGINT AS hits FROM w WHERE list_contains(l, 'the') AND list_contains(l, 'ering')""")
 def r4_index_match(s: SparkSession, d: str) -> DataFrame:
     """R4 by an inverted index, over words as they stand."""
+    return search.index_match(search.inverted_index(_plain_chunks(s, d)), ["the", "ering"]).select(F.col("id").alias("doc_id"), "hits")
+
+
+def _plain_chunks(s: SparkSession, d: str) -> DataFrame:
+    """English texts as chunks whose lexemes are the words as they stand."""
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1), lambda w, i: F.struct(w.alias("lexeme"), i.alias("pos")))
-    c = t(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain_id"), words.alias("lexemes"))
-    x = search.inverted_index(c).filter(F.col("lexeme").isin("the", "ering")).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("positions")).alias("hits"))
-    return x.filter("n = 2").select(F.col("id").alias("doc_id"), "hits")
+    return t(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain_id"), words.alias("lexemes"))
+
+
+#: Minimal covers of two words: neighbouring hits of which one is the one and one the other.
+COVERS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS l FROM documents WHERE lang = 'en'),
+ o AS (SELECT doc_id, unnest(l) AS w, unnest(range(0, len(l))) AS p FROM w),
+ c AS (SELECT doc_id, w, p, lag(w) OVER q AS pw, lag(p) OVER q AS pp FROM o WHERE w IN ('thering', 'ered') WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+ x AS (SELECT doc_id, sum(CASE WHEN pw <> w THEN 0.1e0 / (1 + (p - pp) - 1) END) AS score FROM c GROUP BY doc_id HAVING count(DISTINCT w) = 2)"""
+
+
+@query(f"WITH {COVERS} SELECT doc_id, rank::INT AS rank, round(score, 9) AS score FROM (SELECT doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) WHERE rank <= 20")
+def r7_two_words(s: SparkSession, d: str) -> DataFrame:
+    """F7, R4, R5, R7 with two words as they stand: match of both, cover density, the best twenty."""
+    wanted = ["thering", "ered"]
+    c = _plain_chunks(s, d)
+    hits = c.filter(analysis.matches(F.col("lexemes"), wanted)).select("id", F.round(analysis.rank_cd(F.col("lexemes"), wanted), 9).alias("score"))
+    return search.top(hits, "score", "id", 20).select(F.col("id").alias("doc_id"), "rank", "score")
 
 
 @query("SELECT item_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(a, '(\\d+)', 1), lambda x: try_cast(x AS INT)), lambda x: x IS NOT NULL AND x < 5))) AS passages FROM (SELECT item_id, '[' || (item_id % 7) || ', 3, -1, ' || (item_id % 4) || ', 3, 99] then 99999999999' AS a FROM benchmark)")
@@ -403,9 +434,9 @@ def r15_passage_numbers(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT n AS total, greatest(1, (n + 19) // 20)::BIGINT AS total_pages, 1 < greatest(1, (n + 19) // 20) AS has_next, false AS has_previous FROM (SELECT count(*) AS n FROM documents WHERE lang = 'es')")
 def o7_page_facts(s: SparkSession, d: str) -> DataFrame:
-    n = t(s, d, "documents").filter("lang = 'es'").agg(F.count(F.lit(1)).alias("total"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / 20)).cast("long")
-    return n.select("total", pages.alias("total_pages"), (pages > 1).alias("has_next"), F.lit(False).alias("has_previous"))
+    total = t(s, d, "documents").filter("lang = 'es'").count()
+    facts = catalog.page_facts(total, 0, 20)
+    return s.createDataFrame([(total, facts["total_pages"], facts["has_next"], facts["has_previous"])], "total long, total_pages long, has_next boolean, has_previous boolean")
 
 
 @query(f"WITH {TAGS} SELECT row_number() OVER (ORDER BY sort_key, path)::INT AS place, path, depth::INT AS depth FROM (SELECT a.path, CASE WHEN p.path IS NULL THEN 0 ELSE 1 END AS depth, CASE WHEN p.path IS NULL THEN a.name ELSE p.name || chr(1) || a.name END AS sort_key FROM (SELECT * FROM tag WHERE path <> 'fr') a LEFT JOIN (SELECT * FROM tag WHERE path <> 'fr') p ON a.path <> p.path AND p.path = regexp_replace(a.path, '\\.[^.]*$', ''))")
@@ -437,7 +468,7 @@ def h6_slugs(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'customer' AS tab, count(*) AS n FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT 'supplier', count(*) FROM supplier WHERE s_nationkey <> 3 UNION ALL SELECT 'nation', count(*) FROM nation WHERE n_nationkey <> 3")
 def m1_cascade_delete(s: SparkSession, d: str) -> DataFrame:
-    """M1, M6, M7: a domain goes with all that hangs from it."""
+    """M1: a domain goes with all that hangs from it."""
     tabs = {
         "domain": t(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id")),
         "document": t(s, d, "supplier").select(F.col("s_nationkey").cast("string").alias("domain_id")),
@@ -450,7 +481,7 @@ def m1_cascade_delete(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN doc_id = 7 THEN ['x.y'] ELSE [lang] END AS tags, CASE WHEN doc_id = 7 THEN 'FAILED' ELSE 'PENDING' END AS ingestion_status FROM documents")
 def m4_m5_updates(s: SparkSession, d: str) -> DataFrame:
-    """M3, M4, M5, H9: one row changes, the others stay."""
+    """M4, M5: one row changes, the others stay."""
     docs = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array("lang").alias("tags"), F.lit("PENDING").alias("ingestion_status"), F.lit("e").alias("ingestion_error"), F.lit(None).cast("timestamp").alias("ingested_at"))
     chunk = docs.select(F.col("id").alias("document_id"), F.col("tags").alias("tag_paths"))
     out = catalog.set_document_tags({"document": docs, "chunk": chunk}, "7", ["x.y"])
@@ -504,3 +535,324 @@ def scalar_palindrome(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(10), repeat(chr(10), 4)), '^\\s+|\\s+$', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g') AS collapsed FROM documents")
 def t3_collapse(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "documents").select("doc_id", tx.collapse_blank(F.replace("text", F.lit("\n"), F.lit("\n\n\n\n"))).alias("collapsed"))
+
+
+# the operators' own functions, each reached by an entry of its own
+
+STOPS = ", ".join(f"'{w}'" for w in sorted(analysis.STOP))
+PLAIN = "trim(regexp_replace(regexp_replace(text, '[#*`_~\\[\\]()!>]', ' ', 'g'), '\\s+', ' ', 'g'))"
+#: Words with their places, stop words counted; ``th`` and ``nd`` are their own stems and no other word's.
+PLACES = f"""w AS (SELECT doc_id, lang, regexp_extract_all(lower({PLAIN}), '[\\p{{L}}\\p{{N}}]+') AS l FROM documents),
+ o AS (SELECT doc_id, lang, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS p FROM w)"""
+
+
+@query(f"WITH {PLACES} SELECT doc_id, count(*) AS n, sum(p)::BIGINT AS places, max(p)::BIGINT AS last FROM o WHERE w NOT IN ({STOPS}) GROUP BY doc_id")
+def r2_positions(s: SparkSession, d: str) -> DataFrame:
+    """R2: how many lexemes, and where: stop words are left out and keep their places."""
+    x = t(s, d, "documents").select("doc_id", F.explode(analysis.to_lexemes(tx.strip_markdown(F.col("text")))).alias("l"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l.pos").alias("places"), F.max("l.pos").cast("long").alias("last"))
+
+
+def _chunks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(chunk, document): a text a chunk, with its analysed words and the embedding of its id."""
+    docs = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "lang", "source")
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunk = docs.join(e, "doc_id", "left").select(
+        "id", F.col("id").alias("document_id"), F.col("lang").alias("domain_id"), F.array(F.concat_ws(".", "lang", "source")).alias("tag_paths"), F.col("text").alias("content"), "embedding",
+        F.lit(0).alias("chunk_index"), F.lit("TOKEN").alias("chunk_strategy"), analysis.to_lexemes(tx.strip_markdown(F.col("text"))).alias("lexemes"),
+    )
+    return chunk, docs.select("id", F.concat(F.lit("Title "), "id").alias("title"), F.col("source").alias("author"))
+
+
+def _shown(page: DataFrame) -> DataFrame:
+    return page.select("rank", "chunk_id", F.round("score", 9).alias("score"), "document_title", "document_author", "search_type")
+
+
+TWO_WORDS = f"""{PLACES}, c AS (SELECT doc_id, w, p, lag(w) OVER q AS pw, lag(p) OVER q AS pp FROM o WHERE w IN ('th', 'nd') AND lang = 'en' WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+ x AS (SELECT doc_id::VARCHAR AS id, sum(CASE WHEN pw <> w THEN 0.1e0 / (1 + (p - pp) - 1) END) AS score FROM c GROUP BY doc_id HAVING count(DISTINCT w) = 2)"""
+
+
+@query(f"WITH {TWO_WORDS} SELECT count(*) AS total, greatest(1, (count(*) + 19) // 20)::BIGINT AS total_pages, count(*) > 40 AS has_next, true AS has_previous FROM x")
+def r7_total(s: SparkSession, d: str) -> DataFrame:
+    """How many texts hold both words, and what a second page has around it."""
+    p = search.lexical_search(*_chunks(s, d), "th nd", "en", size=20, page=1)
+    return s.createDataFrame([(p.total, p.total_pages, p.has_next, p.has_previous)], "total long, total_pages long, has_next boolean, has_previous boolean")
+
+
+@query(f"WITH {TWO_WORDS} SELECT count(*) AS n, round(sum(score), 6) AS scores FROM x")
+def r5_cover_density(s: SparkSession, d: str) -> DataFrame:
+    """R5 over all texts that hold both words."""
+    wanted = analysis.query_lexemes("th nd")
+    c = _chunks(s, d)[0].filter("domain_id = 'en'").filter(analysis.matches(F.col("lexemes"), wanted))
+    return c.select(analysis.rank_cd(F.col("lexemes"), wanted).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("scores"))
+
+
+HYBRID = f"""{PLACES}, lex AS (SELECT doc_id, id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT doc_id, doc_id::VARCHAR AS id, 0.1e0 * count(*) AS score FROM o WHERE w = 'th' AND lang = 'en' GROUP BY doc_id)),
+ vec AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM (SELECT e.vec_id::VARCHAR AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
+         FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 0 AND d.lang = 'en')),
+ f AS (SELECT id, sum(1e0 / (60 + r)) AS score, min(CASE WHEN leg = 0 THEN r END) AS lex_rank, min(CASE WHEN leg = 1 THEN r END) AS vec_rank
+       FROM (SELECT id, r, 0 AS leg FROM lex WHERE r <= 50 UNION ALL SELECT id, r, 1 FROM vec WHERE r <= 50) GROUP BY id),
+ page AS (SELECT (row_number() OVER (ORDER BY score DESC, lex_rank NULLS LAST, vec_rank NULLS LAST))::INT AS rank, id AS chunk_id, round(score, 9) AS score,
+   CASE WHEN lex_rank IS NOT NULL AND vec_rank IS NOT NULL THEN 'BOTH' WHEN vec_rank IS NOT NULL THEN 'EMBEDDING' ELSE 'LEXICAL' END AS search_type FROM f)"""
+
+
+@query(f"WITH {HYBRID} SELECT rank, chunk_id, score, 'Title ' || chunk_id AS document_title, d.source AS document_author, search_type FROM page JOIN documents d ON d.doc_id::VARCHAR = chunk_id WHERE rank BETWEEN 21 AND 40")
+def r12_second_page(s: SparkSession, d: str) -> DataFrame:
+    """The search itself; its second page, hydrated."""
+    return _shown(search.search_page(*_chunks(s, d), "th", lambda _: _query_vector(s, d), "en", ["en", " "], 20, 1).results)
+
+
+@query(f"WITH {HYBRID} SELECT rank, chunk_id, 'Title ' || chunk_id AS document_title FROM page WHERE rank IN (1, 2, 3, 4, 5)")
+def r16_sources(s: SparkSession, d: str) -> DataFrame:
+    """R16 with a canned model: the passages that an answer cites."""
+    got = answers.rag_answer(*_chunks(s, d), "th", lambda _: _query_vector(s, d), "en", answers.canned_chat)
+    return s.createDataFrame([(r["rank"], r["chunk_id"], r["document_title"]) for r in got["sources"]], "rank int, chunk_id string, document_title string")
+
+
+@query("SELECT n_name, (n_nationkey + 1)::INT AS place FROM nation WHERE n_nationkey < 7 UNION ALL SELECT r_name, (7 + r_regionkey + 1)::INT FROM region WHERE r_regionkey < 2")
+def r14_rerank(s: SparkSession, d: str) -> DataFrame:
+    """A model names some passages first, those it leaves out follow, the best nine are taken."""
+    region = [r["r_name"] for r in t(s, d, "region").orderBy("r_regionkey").collect()]  # two small tables as passages
+    nation = [r["n_name"] for r in t(s, d, "nation").orderBy("n_nationkey").collect()]
+    first = list(range(len(region), len(region) + 7))
+    got = answers.rerank("q", region + nation, 9, str, lambda a, b: f"passages {first}, then 99999999999 and {first[0]}")
+    return s.createDataFrame([(x, i) for i, x in enumerate(got, 1)], "n_name string, place int")
+
+
+@query("SELECT a.vec_id AS a, round(CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE dot / (sqrt(na) * sqrt(nb)) END, 6) AS similarity FROM (SELECT a.vec_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1] * x[2])::DOUBLE)) AS dot, list_sum(list_transform(a.embedding, lambda x: (x * x)::DOUBLE)) AS na, list_sum(list_transform(b.embedding, lambda x: (x * x)::DOUBLE)) AS nb FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) a")
+def r18_float_cosine(s: SparkSession, d: str) -> DataFrame:
+    """Products in single precision, sums in double."""
+    e = t(s, d, "embeddings").select("vec_id", "embedding")
+    o = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o"))
+    return e.join(o, "vec_id").select(F.col("vec_id").alias("a"), F.round(vectors.cosine_similarity(F.col("embedding"), F.col("o"), "float"), 6).alias("similarity"))
+
+
+def _documents(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Documents and their lines as chunks."""
+    docs = t(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("domain_id"), F.col("source").alias("title"), F.lit("me").alias("author"), F.lit("p").alias("source_path"),
+        F.array("lang").alias("tags"), F.lit("COMPLETED").alias("ingestion_status"), F.lit("e").alias("ingestion_error"), F.current_timestamp().alias("ingested_at"),
+    )
+    x = lines_of(s, d).select(F.concat_ws("-", "doc_id", "idx").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("idx").alias("chunk_index"))
+    return {"document": docs, "chunk": x.join(docs.select(F.col("id").alias("document_id"), "domain_id"), "document_id")}
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id = 5 THEN 'New' ELSE source END AS title, CASE WHEN doc_id = 5 THEN NULL ELSE 'me' END AS author, CASE WHEN doc_id = 5 THEN '/x' ELSE 'p' END AS source_path FROM documents")
+def m3_update(s: SparkSession, d: str) -> DataFrame:
+    return catalog.update(_documents(s, d)["document"], "5", title="New", author=None, source_path="/x").select("id", "title", "author", "source_path")
+
+
+@query(f"WITH {TAGS} SELECT path, CASE WHEN path = 'en' THEN 'English' ELSE name END AS name, CASE WHEN path = 'en' THEN 'all of it' ELSE '' END AS description FROM tag")
+def h9_update_tag(s: SparkSession, d: str) -> DataFrame:
+    return catalog.update(tags_of(s, d), "en", name="English", description="all of it").select("path", "name", "description")
+
+
+@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS document_id, count(*) AS n FROM lines WHERE doc_id <> 11 GROUP BY doc_id")
+def m6_delete_document(s: SparkSession, d: str) -> DataFrame:
+    """M6: a document and its chunks go; what is left, counted."""
+    left = catalog.delete_document(_documents(s, d), "11")
+    return left["document"].select(F.col("id").alias("document_id")).join(left["chunk"], "document_id", "left").groupBy("document_id").agg(F.count("id").alias("n"))
+
+
+@query(f"WITH {LINES} SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id = 11 THEN 'PENDING' ELSE 'COMPLETED' END AS ingestion_status, CASE WHEN doc_id = 11 THEN NULL ELSE 'e' END AS ingestion_error, sum(CASE WHEN doc_id = 11 THEN 0 ELSE 1 END)::BIGINT AS chunks FROM lines GROUP BY doc_id")
+def m7_reset(s: SparkSession, d: str) -> DataFrame:
+    """M7, M5: a document taken in again loses its chunks and its status."""
+    r = catalog.reset_for_ingest(_documents(s, d), "11")
+    n = r["chunk"].groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"))
+    return r["document"].join(n, "id", "left").select("id", "ingestion_status", "ingestion_error", F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query("SELECT '11-0' AS id")
+def m9_first_chunk(s: SparkSession, d: str) -> DataFrame:
+    return catalog.first_chunk(_documents(s, d)["chunk"], "11")
+
+
+@query("SELECT sha256(lang || chr(1) || doc_id || '.Epub') AS id, doc_id || '.Epub' AS title, doc_id || '.Epub' AS source_filename, 'EPUB' AS source_type, 'PENDING' AS ingestion_status FROM documents")
+def m2_import(s: SparkSession, d: str) -> DataFrame:
+    """M2, P0f: uploads as pending documents, named after their files."""
+    up = t(s, d, "documents").select(F.col("lang").alias("domain_id"), F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(".Epub ")).alias("source_filename"), F.lit(" ").alias("title"))
+    return catalog.new_document(up).select("id", "title", "source_filename", "source_type", "ingestion_status")
+
+
+@query(f"WITH {TAGS} SELECT path FROM tag WHERE path <> 'en.src1'")
+def h8_delete_tag(s: SparkSession, d: str) -> DataFrame:
+    """H8: a tag without tags below it goes; one with some is refused."""
+    g = tags_of(s, d)
+    try:
+        catalog.delete_tag(g, "en")
+    except ValueError:
+        return catalog.delete_tag(g, "en.src1").select("path")
+    raise AssertionError("a tag with tags below it was deleted")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation ORDER BY n_name, id LIMIT 1")
+def o10_default_domain(s: SparkSession, d: str) -> DataFrame:
+    return catalog.default_domain(t(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")))
+
+
+@query(f"WITH {LINES} SELECT l.line AS content, p.idx AS previous, n.idx AS next FROM lines l LEFT JOIN lines p ON p.doc_id = 11 AND p.idx = 0 LEFT JOIN lines n ON n.doc_id = 11 AND n.idx = 2 WHERE l.doc_id = 11 AND l.idx = 1")
+def chunk_detail(s: SparkSession, d: str) -> DataFrame:
+    """The page of one chunk: its text and the chunks beside it."""
+    x = lines_of(s, d).select(F.concat_ws("-", "doc_id", "idx").alias("id"), F.col("doc_id").cast("string").alias("document_id"), F.col("idx").alias("chunk_index"), F.col("line").alias("content"))
+    got = search.chunk_detail(x, _documents(s, d)["document"], "11-1")
+    place = lambda c: F.substring_index(c, "-", -1).cast("int")
+    return got.select("content", place("previous_id").alias("previous"), place("next_id").alias("next"))
+
+
+@query("SELECT page_id, url AS path, strlen(html)::BIGINT AS bytes, 'application/pdf' AS media_type FROM pages WHERE page_id = 17")
+def s15_serve(s: SparkSession, d: str) -> DataFrame:
+    """A stored file by its document's id."""
+    from ..sources import archive
+
+    p = t(s, d, "pages")
+    doc = p.select(F.col("page_id").cast("string").alias("id"), F.col("url").alias("source_path"), F.lit("PDF").alias("source_type"))
+    got = archive.serve(doc, p.select(F.col("url").alias("path"), F.encode("html", "utf-8").alias("content")), "17")
+    return got.select(F.lit(17).cast("long").alias("page_id"), "path", F.octet_length("content").cast("long").alias("bytes"), "media_type")
+
+
+# layout
+
+SECTIONS = """s AS (SELECT doc_id, (i // 5)::INT AS section_no, (i // 5 % 3)::INT AS level, i, CASE i % 5 WHEN 0 THEN 'Some Running Head ' || doc_id WHEN 1 THEN (i + 1)::VARCHAR ELSE line END AS raw
+ FROM (SELECT doc_id, (unnest(range(0, len(l))))::INT AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+#: Lines as they stay: no furniture, no line that three sections and a third of them share.
+CLEANED = f"""{SECTIONS}, u AS (SELECT *, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM s),
+ k AS (SELECT *, regexp_replace(regexp_replace(t, ' {{2,}}', ' ', 'g'), ' \\d{{1,4}}$', '') AS bare, regexp_replace(t, ' {{2,}}', ' ', 'g') AS one FROM u),
+ h AS (SELECT *, {HEADER_KEY} AS key FROM k),
+ r AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, section_no, key FROM h WHERE key <> '' AND length(key) <= 60) JOIN (SELECT doc_id, count(DISTINCT section_no) AS n FROM s GROUP BY doc_id) USING (doc_id)
+   GROUP BY doc_id, key, n HAVING count(*) >= greatest(n * 0.3, 3.0)),
+ f AS (SELECT * FROM h WHERE NOT (t <> '' AND (regexp_matches(t, '^\\d{{1,4}}$') OR regexp_matches(t, '(?i)\\.indd|fogra') OR regexp_matches(t, '(?i)\\b(dtp|page):\\d+\\b') OR regexp_matches(t, '(?i)^chapter\\s+\\d+\\b')))
+   AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = h.doc_id AND r.key = h.key)),
+ b AS (SELECT doc_id, section_no, regexp_replace(string_agg(regexp_replace(regexp_replace(raw, ' {{2,}}', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS body FROM f GROUP BY doc_id, section_no),
+ a AS (SELECT DISTINCT doc_id, section_no, level, 'S' || section_no AS title FROM s),
+ c AS (SELECT a.*, coalesce(b.body, '') AS body FROM a LEFT JOIN b USING (doc_id, section_no))"""
+
+
+def _sections(s: SparkSession, d: str) -> DataFrame:
+    """Five lines a section: a running head, a page number, three lines of text."""
+    i = F.col("idx")
+    raw = F.when(i % 5 == 0, F.concat(F.lit("Some Running Head "), "doc_id")).when(i % 5 == 1, (i + 1).cast("string")).otherwise(F.col("line"))
+    x = lines_of(s, d).select("doc_id", F.floor(i / 5).cast("int").alias("section_no"), "idx", raw.alias("raw"))
+    g = x.groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("idx", "raw"))).alias("x"))
+    return g.select("doc_id", "section_no", (F.col("section_no") % 3).alias("level"), F.concat(F.lit("S"), "section_no").alias("title"), F.array_join(F.transform("x", lambda v: v["raw"]), "\n").alias("body"))
+
+
+@query(f"WITH {CLEANED} SELECT doc_id, section_no, body FROM c")
+def p5_clean_sections(s: SparkSession, d: str) -> DataFrame:
+    """Bodies without furniture and running heads."""
+    return layout.clean_sections(_sections(s, d)).select("doc_id", "section_no", "body")
+
+
+@query(f"WITH {CLEANED} SELECT doc_id, string_agg(repeat('#', least(level + 2, 6)::INT) || ' ' || title || CASE WHEN body = '' THEN '' ELSE chr(10) || chr(10) || body END, chr(10) || chr(10) ORDER BY section_no) AS markdown FROM c GROUP BY doc_id")
+def p1_outline(s: SparkSession, d: str) -> DataFrame:
+    """Sections under their titles as one markdown text."""
+    return layout.outline_markdown(_sections(s, d))
+
+
+@query(f"""WITH {GLYPHS}, bands AS (SELECT doc_id, page, 210 AS split_x, 60.0 AS y_start, 240.0 AS y_end FROM (SELECT DISTINCT doc_id, page FROM g) WHERE doc_id % 2 = 0),
+ l AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, page ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, x) > 3 THEN 1 ELSE 0 END AS s FROM g)),
+ p AS (SELECT l.*, CASE WHEN split_x IS NULL THEN 0 WHEN y BETWEEN y_start - 8 AND y_end + 8 AND x < split_x THEN 1 WHEN y BETWEEN y_start - 8 AND y_end + 8 THEN 2 WHEN y > y_end THEN 3 ELSE 0 END AS part FROM l LEFT JOIN bands USING (doc_id, page))
+ SELECT doc_id, page, x, y, part::INT AS part, (row_number() OVER (PARTITION BY doc_id, page ORDER BY part, line, x))::INT AS reading FROM p""")
+def p3_reading_order(s: SparkSession, d: str) -> DataFrame:
+    """Inside a page's band the left column is read before the right one."""
+    g = _glyphs(s, d)
+    bands = g.select("doc_id", "page").distinct().filter("doc_id % 2 = 0").select("doc_id", "page", F.lit(210).alias("split_x"), F.lit(60.0).alias("y_start"), F.lit(240.0).alias("y_end"))
+    return layout.reading_order(g, bands).select("doc_id", "page", "x", "y", "part", "reading")
+
+
+# chunking
+
+def merged(parts: str, least: int) -> str:
+    """SQL for a list of segments where one shorter than ``least`` takes the next; chr(1) parts those that stay."""
+    tail = "regexp_replace(regexp_extract(a, '[^\\x01]*$'), '^\\s+|\\s+$', '', 'g')"
+    return f"string_split(list_reduce({parts}, lambda a, x: CASE WHEN length({tail}) < {least} THEN a || chr(10) || chr(10) || x ELSE a || chr(1) || x END), chr(1))"
+
+
+@query(f"""WITH h AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i = 1 THEN '## ' ELSE '### ' END || x) AS l FROM documents),
+ n AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(regexp_replace(x, '\\s+$', ''), '^#+ .') THEN chr(2) ELSE '' END || x), chr(10) || chr(10)), '^\\x02', ''), chr(2)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM h),
+ m AS (SELECT doc_id, {merged('p', 200)} AS c FROM n)
+ SELECT doc_id, (unnest(range(0, len(c))))::INT AS chunk_index, unnest(c) AS content FROM m""")
+def c8_merged_headings(s: SparkSession, d: str) -> DataFrame:
+    """The neighbouring level that gives more, short segments merged."""
+    return c7_c8_chunks(s, d)
+
+
+RECIPES = "'## Dish ' || p_partkey || chr(10) || '### Ingredients' || chr(10) || p_name || chr(10) || '### Method' || chr(10) || p_type || ' ' || {0}"
+
+
+@query(f"SELECT p_partkey, i::INT AS chunk_index, {RECIPES.format('i')} AS content FROM part, range(0, 3) r(i)")
+def c5_c6_recipes(s: SparkSession, d: str) -> DataFrame:
+    """Headings that only part a recipe don't part chunks, and the level above the first of them does."""
+    one = lambda i: F.concat(F.lit("## Dish "), F.col("p_partkey").cast("string"), F.lit("\n### Ingredients\n"), "p_name", F.lit("\n### Method\n"), "p_type", F.lit(f" {i}"))
+    x = t(s, d, "part").select("p_partkey", F.concat_ws("\n", *[one(i) for i in range(3)]).alias("markdown"))
+    return chunking.split_headings(x, preferred=4, min_chars=5, excluded=("ingredients", "method")).select("p_partkey", F.posexplode("chunks").alias("chunk_index", "content"))
+
+
+@query(f"""WITH {LINES.replace('FROM documents)', "FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents))")},
+ x AS (SELECT doc_id, idx, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS l, coalesce(regexp_replace(lag(line) OVER (PARTITION BY doc_id ORDER BY idx), '^\\s+|\\s+$', '', 'g'), '') AS p FROM lines),
+ h AS (SELECT doc_id, idx, line, idx > 0 AND ({HEAD.format('l')}) AND (p = '' OR (length(p) >= 20 AND regexp_matches(p, '[.!?]$'))) AS starts FROM x),
+ g AS (SELECT doc_id, string_agg(CASE WHEN starts THEN chr(2) ELSE '' END || line, chr(10) ORDER BY idx) AS a FROM h GROUP BY doc_id),
+ n AS (SELECT doc_id, list_filter(list_transform(string_split(a, chr(2)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM g),
+ m AS (SELECT doc_id, {merged('p', 200)} AS c FROM n WHERE len(p) > 0)
+ SELECT doc_id, (unnest(range(0, len(c))))::INT AS chunk_index, unnest(c) AS content FROM m""")
+def c13_heuristic(s: SparkSession, d: str) -> DataFrame:
+    """Lines that look like headings in their context begin segments; short ones are merged."""
+    x = t(s, d, "documents").select("doc_id", F.array("text").alias("pages"))
+    return chunking.split_heuristic(x).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TOKEN' WHEN 1 THEN 'SEMANTIC' ELSE 'STRUCTURAL' END AS chunk_strategy, left(regexp_replace(lower(text), '\\s+', '', 'g'), 100) AS begins FROM documents")
+def c1_dispatch(s: SparkSession, d: str) -> DataFrame:
+    """Each row goes through its own strategy's splitter; what the chunks of each begin with."""
+    kind = F.element_at(F.array(F.lit("TOKEN"), F.lit("SEMANTIC"), F.lit("STRUCTURAL")), (F.col("doc_id") % 3 + 1).cast("int"))
+    x = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), kind.alias("chunk_strategy"), F.lit("GENERIC").alias("structural_variant"), F.col("text").alias("markdown"), F.array("text").alias("pages"))
+    letters = F.regexp_replace(F.lower(F.array_join("chunks", "")), r"\s+", "")
+    return chunking.chunk_documents(x).select(F.col("id").cast("long").alias("doc_id"), "chunk_strategy", F.left(letters, F.lit(100)).alias("begins"))
+
+
+# readers
+
+
+def _html(s: SparkSession, d: str) -> DataFrame:
+    """Small pages with a head, a list, a table, emphasis and nesting."""
+    n = t(s, d, "nation").select("n_nationkey", F.col("n_name").alias("n"))
+    parts = ["<html><head><title>x</title></head><body><nav>menu</nav><h2>", "n", " <i>land</i></h2><p>Of ", "n", " &amp; more<p>next</p><ul><li>one<li>", "n",
+             "</ul><ol><li>a</li></ol><table><tr><th>h</th><th>k</th></tr><tr><td>", "n", "</td><td>2</td></tr></table><hr><blockquote>said <b>", "n", "</b></blockquote><div><div><b>", "n", "</b><br><em>it</em></div></div>"]
+    return n.select("n_nationkey", F.concat(*[F.col("n") if x == "n" else F.lit(x) for x in parts]).alias("html"))
+
+
+@query("""SELECT n_nationkey, '## ' || n || ' land' || chr(10) || chr(10) || 'Of ' || n || ' & more' || chr(10) || chr(10) || 'next' || chr(10) || chr(10) || '- one' || chr(10) || '- ' || n || chr(10) || chr(10) || '1. a' || chr(10) || chr(10)
+ || '| h | k |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n || ' | 2 |' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '> said ' || n || chr(10) || chr(10) || '**' || n || '**' || chr(10) || '*it*' AS markdown FROM (SELECT n_nationkey, n_name AS n FROM nation)""")
+def t1_t2_markup(s: SparkSession, d: str) -> DataFrame:
+    """Pages as markdown."""
+    return _html(s, d).select("n_nationkey", markup.to_markdown(F.col("html")).alias("markdown"))
+
+
+@query("SELECT n_nationkey, n || ' land Of ' || n || ' & more next one ' || n || ' a h k ' || n || ' 2 said ' || n || ' ' || n || ' it' AS text FROM (SELECT n_nationkey, n_name AS n FROM nation)")
+def s12_small_pages(s: SparkSession, d: str) -> DataFrame:
+    return _html(s, d).select("n_nationkey", markup.to_text(F.col("html")).alias("text"))
+
+
+@query("SELECT n_nationkey, '<h2>' || n_name || ' &amp; <strong>co</strong></h2>' || chr(10) || '<ul><li>a</li><li><em>' || n_name || '</em></li></ul>' || chr(10) || '<p><a href=\"https://x.y\">l</a> &lt;script&gt;</p>' AS html FROM nation")
+def t4_html(s: SparkSession, d: str) -> DataFrame:
+    """T4: markdown as safe HTML."""
+    md = F.concat(F.lit("## "), "n_name", F.lit(" & **co**\n\n- a\n- *"), "n_name", F.lit("*\n\n[l](https://x.y) <script>"))
+    return t(s, d, "nation").select("n_nationkey", markup.to_html(md).alias("html"))
+
+
+UPLOADS = "(SELECT n_nationkey AS k, n_name AS n, n_nationkey % 5 AS kind FROM nation)"
+
+
+@query(f"""SELECT k, CASE kind WHEN 0 THEN 'EPUB' WHEN 1 THEN 'EPUB' WHEN 2 THEN 'EPUB' WHEN 3 THEN 'PDF' END AS source_type, kind = 4 AS refused,
+ CASE WHEN kind < 3 THEN '# ' || n || chr(10) || chr(10) || 'Body of ' || n || '.' ELSE '' END AS markdown, CASE WHEN kind = 3 THEN n || chr(10) || 'Body of ' || n || '.' ELSE '' END AS page FROM {UPLOADS}""")
+def s2_s9_uploads(s: SparkSession, d: str) -> DataFrame:
+    """Books as they are, in folders, and wrapped alone; PDF files; other kinds refused. Each is written here and read back."""
+    from ..sources import archive, epub, fixtures, pdf
+
+    n = t(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n"), (F.col("n_nationkey") % 5).alias("kind"))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("epub", "zip", "zip", "pdf", "txt")]), (F.col("kind") + 1).cast("int"))
+    files = n.select("k", F.concat(F.lit("/in/f"), F.col("k").cast("string"), F.lit("."), suffix).alias("path"), fixtures.upload(F.col("kind"), F.col("n")).alias("content"))
+    r = archive.resolve_uploads(files)
+    pages = pdf.pdf_columns(r.filter("source_type = 'PDF'").select(F.col("k").alias("id"), "content")).select(F.col("id").alias("k"), F.array_join("pdf_pages", "|").alias("page"))
+    r = r.join(pages, "k", "left")
+    text = F.when(F.col("source_type") == "EPUB", epub.epub_markdown(F.col("content"))).otherwise("")
+    return r.select("k", "source_type", F.col("error").isNotNull().alias("refused"), text.alias("markdown"), F.coalesce("page", F.lit("")).alias("page"))
