@@ -23,9 +23,9 @@ def test_strip_and_excerpt(spark):
 @pytest.mark.parametrize(
     ("chunks", "n", "last"),
     [
-        (["This is the first sentence. This is the second sentence.", "This continues on."], 40, "This is the second sentence. This continues on."),
-        (["Short.", "Next chunk here."], 100, "Short. Next chunk here."),
-        (["one two three four five six seven eight nine ten", "next"], 10, "t nine ten next"),
+        (["Rain fell all night. By dawn the river had risen.", "Boats were moved uphill."], 40, "By dawn the river had risen. Boats were moved uphill."),
+        (["Brief.", "And then more."], 100, "Brief. And then more."),
+        (["alpha beta gamma delta epsilon", "zeta"], 10, "ta epsilon zeta"),
     ],
 )
 def test_overlap(spark, chunks, n, last):
@@ -89,3 +89,31 @@ def test_cover_density_and_headline():
     assert analysis.cover_density(lex, ["quick", "fox"]) > 0.1 and analysis.cover_density(lex, ["quick", "cat"]) == 0 and analysis.query_lexemes("the of") == []
     shown = analysis.headline("word " * 60 + "foxes here", ["fox"])
     assert "<b>foxes</b>" in shown and len(shown.split()) <= 35
+
+
+def test_ranks_within_groups(spark):
+    from corvina.operators import ranks
+
+    rows = [("a", float(i * i % 37)) for i in range(200)] + [("b", 5.0)] * 9 + [(None, None), (None, 2.0), ("c", 1e9), ("c", 0.0), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for place in (lambda n: F.floor(n / 2) + 1, lambda n: n, lambda n: F.lit(1)):
+        got = {r["g"]: r["v"] for r in ranks.nth_value(df, "g", "v", place).collect()}
+        for g in ("a", "b", "c", None):
+            v = sorted((x for k, x in rows if k == g), key=lambda x: (x is not None, x))
+            at = spark.range(1).select(place(F.lit(len(v))).alias("p")).first()["p"]
+            assert got[g] == v[at - 1]
+    seq = spark.createDataFrame([(i % 3, i, f"x{i}") for i in range(300)], "g int, i int, v string").repartition(7)
+    nxt = {r["i"]: r["n"] for r in ranks.with_next(seq, "g", "i", {"v": "n"}).collect()}
+    assert nxt == {i: f"x{i + 3}" if i < 297 else None for i in range(300)}
+    run = {r["i"]: r["before"] for r in ranks.running_before(seq.withColumn("k", F.col("i")), "g", "i", "k").collect()}
+    assert run == {i: sum(range(i % 3, i, 3)) for i in range(300)}
+
+
+def test_stored_index_is_searched_by_lexeme(spark, tmp_path):
+    from corvina.operators import search
+
+    c = spark.createDataFrame([(i, "d", [("even" if i % 2 == 0 else "odd", 1), (f"w{i % 7}", 2)]) for i in range(50)], "id int, domain_id string, lexemes array<struct<lexeme:string,pos:int>>")
+    index = search.store_index(search.inverted_index(c), str(tmp_path / "index"))
+    found = search.index_match(index, ["even", "w3"])
+    assert sorted(r["id"] for r in found.collect()) == [i for i in range(50) if i % 2 == 0 and i % 7 == 3]
+    assert "PushedFilters: [In(lexeme" in found._jdf.queryExecution().toString()

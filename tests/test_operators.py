@@ -170,3 +170,113 @@ def test_streaming_ingest(spark, tmp_path):
     assert status == {"COMPLETED": 1, "FAILED": 1}
     ingest.ingest_batch(spark.read.format("binaryFile").load(str(inbox)), domain, store, "dom")
     assert ingest.status(spark, store).groupBy().sum("n").first()[0] == 2 and spark.read.parquet(store + "/chunk").count() > 0
+
+
+def make_pdf(packed=True):
+    """Two pages with an outline, a running head and a ToUnicode font; streams packed or plain."""
+    import zlib
+
+    def stream(body):
+        data = zlib.compress(body) if packed else body
+        return b"<< /Length %d %s >>\nstream\n%s\nendstream" % (len(data), b"/Filter /FlateDecode" if packed else b"", data)
+
+    first = b"BT /F1 20 Tf 50 700 Td (Great Title) Tj /F1 10 Tf 0 -40 Td 14 TL (Some \\(plain\\) words) Tj T* [(sp) -20 (lit) -300 (apart)] TJ ET"
+    second = b"q 1 0 0 1 0 10 cm BT /F2 10 Tf 1 0 0 1 50 690 Tm <00010002> Tj ET BT /F1 10 Tf 50 600 Td (caf\\351 end) Tj ET Q"
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <0048> endbfchar 1 beginbfrange <0002> <0003> <0069> endbfrange"
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R /Outlines 9 0 R >>", b"<< /Type /Pages /Kids [3 0 R 4 0 R] /Count 2 /Resources << /Font << /F1 7 0 R /F2 8 0 R >> >> >>",
+        b"<< /Type /Page /Parent 2 0 R /Contents 5 0 R >>", b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>", stream(first), stream(second),
+        b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>", b"<< /Type /Font /Subtype /Type0 /ToUnicode 12 0 R >>",
+        b"<< /First 10 0 R >>", b"<< /Title (Opening) /Dest [3 0 R /XYZ 0 750 0] /Next 11 0 R >>", b"<< /Title <feff005a> /A << /S /GoTo /D [4 0 R /XYZ 0 720 0] >> >>", stream(cmap),
+    ]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf(spark):
+    from corvina.sources import pdf
+
+    for packed in (True, False):
+        lines, marks = pdf.read_pdf(make_pdf(packed))
+        assert [(x.page, x.text) for x in lines] == [(1, "Great Title"), (1, "Some (plain) words"), (1, "split apart"), (2, "Hi"), (2, "café end")]
+        assert lines[0].size == 20 and lines[3].y == 700 and marks == [(0, "Opening", 1, 750.0), (0, "Z", 2, 720.0)]
+    flat = make_pdf().replace(b"/Outlines 9 0 R", b"")
+    files = spark.createDataFrame([("a", make_pdf()), ("b", flat), ("c", b"no pdf"), ("d", None)], "id string, content binary")
+    got = {r["id"]: r for r in pdf.pdf_columns(files).collect()}
+    assert got["a"]["pdf_markdown"] == "## Opening\n\nGreat Title\nSome (plain) words\nsplit apart\n\n## Z\n\nHi\ncafé end"
+    assert got["b"]["pdf_markdown"].startswith("# Great Title\n\nSome (plain) words") and got["b"]["pdf_pages"] == ["Great Title\nSome (plain) words\nsplit apart", "Hi\ncafé end"]
+    assert [got[k]["pdf_markdown"] for k in "cd"] == ["", ""] and pdf.read_pdf(make_pdf().replace(b"trailer <<", b"trailer << /Encrypt 1 0 R")) == ([], [])
+
+
+def test_ingest_replays_after_a_crash(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from corvina.sources import archive as arc
+    from corvina.streaming import ingest
+
+    inbox, store = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    (inbox / "book.epub").write_bytes(make_zip(BOOK))
+    (inbox / "paper.pdf").write_bytes(make_pdf())
+    (inbox / "broken.pdf").write_bytes(b"%PDF-1.4 nothing")
+    domain = spark.createDataFrame([("dom", "D", "", "TOKEN", None)], schema.DOMAIN)
+    files = spark.read.format("binaryFile").load(str(inbox))
+    write = DataFrameWriter.parquet
+
+    def breaks(self, path, *a, **k):
+        if path.endswith("/document"):
+            raise OSError("lost between the two writes")
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", breaks)
+    with pytest.raises(OSError):
+        ingest.ingest_batch(files, domain, store, "dom")
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    before = spark.read.parquet(store + "/chunk").count()
+    ingest.ingest_batch(files, domain, store, "dom")
+    chunk, document = spark.read.parquet(store + "/chunk"), spark.read.parquet(store + "/document")
+    assert chunk.count() == before == chunk.select("id").distinct().count() > 0
+    rows = {r["source_filename"]: r for r in document.collect()}
+    assert rows["broken.pdf"]["ingestion_status"] == "FAILED" and rows["broken.pdf"]["ingestion_error"] and rows["paper.pdf"]["ingestion_status"] == "COMPLETED"
+    text = {r["content"] for r in chunk.collect()}
+    assert any("Some (plain) words" in t for t in text) and not any("#" in t for t in text)  # TOKEN chunks are of plain text
+    book = rows["book.epub"]
+    stored = arc.read_files(spark, store + "/files").withColumn("path", F.regexp_replace("path", "^file:", ""))
+    served = arc.serve(document, stored, book["id"]).first()
+    assert bytes(served["content"]) == (inbox / "book.epub").read_bytes() and served["media_type"] == arc.EPUB_TYPE
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ingest._existing(spark, str(tmp_path / "bad"), schema.DOCUMENT).count()
+
+
+def test_deep_markup_and_long_texts():
+    deep = "<div>" * 20_000 + "<b>x</b>" + "</div>" * 20_000
+    assert markup.html_to_markdown(deep) == "**x**" and markup.html_to_text(deep) == "x"
+    assert markup.html_to_markdown("<blockquote>" * 3000 + "q") == "> q"
+    long_ = "A sentence goes on. " * 500_000
+    got = chunking.token_split(long_, 600)
+    assert sum(len(c.split()) for c in got) == 2_000_000 and max(map(len, got)) < 4000
+
+
+def test_token_split_by_a_vocabulary():
+    vocabulary = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    t, text = Tokenizer.from_file(vocabulary), "Prices rose 12.5% in Köln, 日本語 too. " * 400
+    got = chunking.token_split(text, 50, min_chars=60, spans=chunking.vocabulary_spans(vocabulary))
+    assert "".join("".join(got).split()) == "".join(text.split()) and all(len(t.encode(c).ids) <= 52 for c in got) and all(c.endswith(".") for c in got[:-1])
+
+
+def test_search_page_and_detail(spark):
+    row = lambda i, text: (f"c{i}", "d", "dom", ["x"], text, [1.0, float(i)], i, [("cat", 1)] if "cat" in text else [])
+    chunk = spark.createDataFrame([row(0, "a cat"), row(1, "cat two"), row(2, "dog")], "id string, document_id string, domain_id string, tag_paths array<string>, content string, embedding array<float>, chunk_index int, lexemes array<struct<lexeme:string,pos:int>>").withColumn("chunk_strategy", F.lit("TOKEN"))
+    document = spark.createDataFrame([("d", "T", "A")], "id string, title string, author string")
+    ask = lambda q, **k: search.search_page(chunk, document, q, lambda _: [1.0, 0.0], "dom", **k)
+    assert ask(" ") is None and ask(None) is None and search.search_page(chunk, document, "cat", lambda _: [1.0], None) is None
+    page = ask("cats", tags=["", " "], size=2, page=1)
+    assert page.total == 3 and [r["chunk_id"] for r in page.results.collect()] == ["c2"] and page.has_previous and not page.has_next
+    one = search.chunk_detail(chunk, document, "c1").first()
+    assert (one["previous_id"], one["next_id"], one["content"], one["document_title"]) == ("c0", "c2", "cat two", "T")
+    with pytest.raises(schema.NotFound):
+        search.chunk_detail(chunk, document, "zz")
+    assert catalog.default_domain(spark.createDataFrame([("2", "b"), ("1", "a")], "id string, name string")).first()["id"] == "1"
