@@ -24,6 +24,8 @@ from .common import table
 
 #: Bytes of pieces whose counts a worker remembers (with 5 bytes each), and text bytes handled at once.
 REMEMBERED = 24_000_000
+#: Pairs of tokens, and strings' normal forms, that a worker remembers.
+PAIRS, FORMS = 1_000_000, 200_000
 LONG_PIECE = 200
 GROUP = 1 << 19
 
@@ -93,6 +95,8 @@ class Vocabulary:
         """
         got = self.fits.get((a, b))
         if got is None:
+            if len(self.fits) >= PAIRS:
+                self.fits.clear()
             got = self.fits[a, b] = self._seam_holds(a, b)
         return got
 
@@ -120,6 +124,8 @@ class Vocabulary:
     def norm(self, chars: str) -> str:
         got = self.norms.get(chars)
         if got is None:
+            if len(self.norms) >= FORMS:
+                self.norms.clear()
             got = self.norms[chars] = self.normaliser.normalize_str(chars)
         return got
 

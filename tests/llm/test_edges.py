@@ -129,6 +129,36 @@ def test_simhash_reads_whole_long_texts():
     assert simhash.fingerprint(a) != simhash.fingerprint(a[: len(a) // 2]) and (simhash.wide_fingerprint(a) != simhash.wide_fingerprint(a[: len(a) // 3])).any()
 
 
+def brute_mix(rows):
+    """(text, taken) of the rows that a mix of 150 % takes words of: targets by resharing, then a walk in the order of hashed ids."""
+    by = {}
+    for r in rows:
+        by.setdefault(r["source"], []).append(r)
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    size = {n: sum(len(r["text"].split()) for r in by[n]) for n in names}
+    weight = {n: (3, 1, 2)[k % 3] for k, n in enumerate(names)}
+    target, left, free = {}, 1.5 * sum(size.values()), set(names)
+    while free:
+        level = left / sum(weight[n] for n in free)
+        full = {n for n in free if 2 * size[n] <= level * weight[n]}
+        for n in full or free:
+            target[n] = 2.0 * size[n] if full else level * weight[n]
+            left -= target[n] if full else 0
+        free = free - full if full else set()
+    out = set()
+    for n in names:
+        budget = int(target[n] + 0.5)
+        rest = budget % size[n]
+        key = lambda r: hashlib.md5(f"0:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()
+        for r in sorted(by[n], key=lambda r: (key(r), r["doc_id"] is not None, r["doc_id"] or 0, len(r["text"].split()))):
+            words = len(r["text"].split())
+            taken = budget // size[n] * words + max(0, min(words, rest))
+            rest -= words
+            if taken:
+                out.add((r["text"], taken))
+    return out
+
+
 def test_pipeline_edges(spark, tmp_path):
     import corpus_pipeline
 
@@ -148,7 +178,7 @@ def test_pipeline_edges(spark, tmp_path):
     texts = sorted(r["text"] for r in docs.collect())
     assert texts == sorted([prose(i, 80) for i in range(90)] + [prose(900, 80), prose(902, 80)])  # rude rows, the copy, the passage and the null are gone
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and {r["text"] for r in out} <= set(texts)
+    assert {(r["text"], r["taken"]) for r in out} == brute_mix(docs.collect()) and all(r["size"] == len(r["text"].split()) for r in out)
     empty = tmp_path / "empty"
     for name, df in (("documents", d), ("labels", spark.createDataFrame([], LABELS)), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
         df.limit(0).write.parquet(str(empty / f"{name}.parquet"))
