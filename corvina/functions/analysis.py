@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,10 +145,17 @@ def query_lexemes(query: str) -> list[str]:
 def to_lexemes(c: Column) -> Column:
     """The analysed column: what a text index stores of each row."""
 
-    @F.pandas_udf(LEXEMES)
-    def analysed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [{"lexeme": w, "pos": i} for w, i in lexemes(t)])
+    @F.arrow_udf(LEXEMES)
+    def analysed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            words, places, ends = [], [], [0]
+            for t in texts.to_pylist():
+                for w, i in lexemes(t):
+                    words.append(w)
+                    places.append(i)
+                ends.append(len(words))
+            flat = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(places, pa.int32())], ["lexeme", "pos"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
 
     return analysed(c)
 
@@ -226,5 +234,5 @@ def to_headline(c: Column, wanted: list[str]) -> Column:
 
 
 def term_frequency(c: Column, term: str) -> Column:
-    """Occurrences of one unstemmed term, by built-in functions only."""
-    return F.size(F.filter(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), 1), lambda w: w == term))
+    """Occurrences of one unstemmed term of letters a-z and digits, by built-in functions only."""
+    return F.regexp_count(F.lower(c), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unrolled(df: DataFrame, key: str, array: Column, index: str, value: str) -> DataFrame:
+    """(key, index, value), a row per element of a computed array.
+
+    The outer form, with empty rows dropped afterwards: the inner one makes the optimizer
+    add filters that compute the array again.
+    """
+    return df.select(key, F.posexplode_outer(array).alias(index, value)).filter(F.col(index).isNotNull())
+
+
 def trim_ws(c: Column) -> Column:
     """Trim any white space, not only blanks."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

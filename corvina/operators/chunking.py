@@ -315,7 +315,7 @@ def split_semantic(df: DataFrame, key: str, text: str = "markdown", embed: Calla
     batches; they return to their row by ``key``, which must be unique.
     """
     df = df.withColumn("__p", tx.paragraphs(F.coalesce(F.col(text), F.lit(""))))
-    long_ = df.filter(F.size("__p") >= 3).select(key, F.posexplode(windows(F.col("__p"), config.window)).alias("i", "w"))
+    long_ = df.filter(F.size("__p") >= 3).select(key, F.posexplode_outer(windows(F.col("__p"), config.window)).alias("i", "w")).filter(F.col("i").isNotNull())
     emb = long_.select(key, "i", embed_column(F.col("w"), embed).alias("e"))
     seq = Window.partitionBy(key).orderBy("i")
     gap = emb.select(key, "i", (F.lit(1.0) - vectors.cosine_similarity(F.col("e"), F.lead("e").over(seq), "float")).alias("d")).filter(F.col("d").isNotNull())
@@ -342,7 +342,7 @@ def to_chunk_rows(df: DataFrame, embed: Callable[[str], list[float]] | None = No
     """One row per chunk, with a deterministic id, an embedding and lexemes: what a chunk table stores."""
     from ..functions.analysis import to_lexemes
 
-    rows = df.select("id", "domain_id", "tags", "chunk_strategy", F.posexplode("chunks").alias("chunk_index", "content"))
+    rows = df.select("id", "domain_id", "tags", "chunk_strategy", F.posexplode_outer("chunks").alias("chunk_index", "content")).filter(F.col("chunk_index").isNotNull())
     return rows.select(
         F.sha2(F.concat_ws("\u0001", "id", "chunk_index"), 256).alias("id"), F.col("id").alias("document_id"), "domain_id", F.col("tags").alias("tag_paths"), "content",
         embed_column(F.col("content"), embed).alias("embedding"), "chunk_index", "chunk_strategy", F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("int").alias("token_count"),

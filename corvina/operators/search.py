@@ -58,9 +58,10 @@ def lexical_leg(chunk: DataFrame, query: str | list[str], k: int, page: int = 0)
     return top(hits, "score", "id", k, page)
 
 
-def inverted_index(chunk: DataFrame) -> DataFrame:
-    """(lexeme, id, domain_id, positions); see ``store_index``."""
-    x = chunk.select("id", "domain_id", F.explode("lexemes").alias("x"))
+def inverted_index(chunk: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(lexeme, id, domain_id, positions), of some lexemes ``only`` or of all; see ``store_index``."""
+    lex = F.col("lexemes") if only is None else F.filter("lexemes", lambda x: x["lexeme"].isin(*only))
+    x = chunk.select("id", "domain_id", F.explode_outer(lex).alias("x")).filter(F.col("x").isNotNull())
     return x.groupBy(F.col("x.lexeme").alias("lexeme"), "id", "domain_id").agg(F.array_sort(F.collect_list("x.pos")).alias("positions"))
 
 

@@ -37,7 +37,7 @@ def t(s: SparkSession, d: str, name: str) -> DataFrame:
 
 def lines_of(s: SparkSession, d: str) -> DataFrame:
     """(doc_id, idx, line), lines as chunks in order."""
-    return t(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    return tx.unrolled(t(s, d, "documents"), "doc_id", F.split("text", "\n"), "idx", "line")
 
 
 LINES = "lines AS (SELECT doc_id, (unnest(range(0, len(l))))::INT AS idx, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
@@ -222,7 +222,7 @@ def a3_a4_repeated_lines(s: SparkSession, d: str) -> DataFrame:
     # a row's own lines are made distinct within the row, so nothing is shuffled for it
     short = F.filter(F.split("text", "\n"), lambda l: F.length(tx.trim_ws(l)) <= 60 + 5)
     keys = F.array_distinct(F.transform(short, lambda l: tx.running_header_key(tx.trim_ws(l))))
-    x = docs.select("source", F.explode(keys).alias("line")).filter((F.col("line") != "") & (F.length("line") <= 60))
+    x = docs.select("source", F.explode_outer(keys).alias("line")).filter((F.col("line") != "") & (F.length("line") <= 60))
     n = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     c = x.groupBy("source", "line").agg(F.count(F.lit(1)).alias("c"))
     return c.join(F.broadcast(n) if n.count() < 10_000 else n, "source").filter(F.col("c") >= F.greatest(F.col("n") * 0.02, F.lit(2.0))).select("source", "line", "c")
@@ -279,7 +279,7 @@ def w1_page_with_total(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LINES} SELECT doc_id, idx, string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS window_text FROM lines")
 def w3_sliding_windows(s: SparkSession, d: str) -> DataFrame:
     x = t(s, d, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    return x.select("doc_id", F.posexplode(chunking.windows(F.col("p"), 2)).alias("idx", "window_text"))
+    return tx.unrolled(x, "doc_id", chunking.windows(F.col("p"), 2), "idx", "window_text")
 
 
 @query("""WITH g AS (SELECT label, vec_id, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS nx, embedding FROM embeddings),
@@ -301,7 +301,7 @@ def w4_w5_breakpoints(s: SparkSession, d: str) -> DataFrame:
 def c3_overlap(s: SparkSession, d: str) -> DataFrame:
     """Each line led by the tail of the one before."""
     x = t(s, d, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    return x.select("doc_id", F.posexplode(chunking.overlap(F.col("p"), 60)).alias("idx", "chunk"))
+    return tx.unrolled(x, "doc_id", chunking.overlap(F.col("p"), 60), "idx", "chunk")
 
 
 HEAD = r"length({0}) BETWEEN 3 AND 80 AND NOT regexp_matches({0}, '[.,;:]$') AND (regexp_matches(substr({0}, 1, 1), '^\p{{Lu}}') OR regexp_matches({0}, '^\d+(\.\d+)*\.?\s+[A-ZÀ-ÿ]'))"
@@ -330,15 +330,15 @@ def _markdown(s: SparkSession, d: str) -> DataFrame:
 def c4_heading_split(s: SparkSession, d: str) -> DataFrame:
     """A segment per heading; their number and their length."""
     parts = F.filter(chunking.split_at_level(F.col("markdown"), 3), lambda x: ~x.rlike(r"^#+$"))
-    x = _markdown(s, d).select("doc_id", F.explode(parts).alias("c"))
-    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("c")).alias("chars"))
+    x = _markdown(s, d).select("doc_id", F.explode_outer(parts).alias("c"))
+    return x.filter("c IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("c")).alias("chars"))
 
 
 @query()
 def c7_c8_chunks(s: SparkSession, d: str) -> DataFrame:
     """Level choice, neighbouring levels, short segments merged."""
     x = chunking.split_headings(_markdown(s, d))
-    return x.select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return tx.unrolled(x, "doc_id", F.col("chunks"), "chunk_index", "content")
 
 
 def _vocabulary() -> str | None:
@@ -353,21 +353,21 @@ def _vocabulary() -> str | None:
 def c2_token_chunks(s: SparkSession, d: str) -> DataFrame:
     """C2 then C3 over whole texts, by a byte-pair vocabulary's tokens where its file is there."""
     x = t(s, d, "documents").select("doc_id", chunking.token_chunks(F.col("text"), 200, _vocabulary()).alias("c"))
-    return x.select("doc_id", F.posexplode(chunking.overlap(F.col("c"), 200)).alias("chunk_index", "content"))
+    return tx.unrolled(x, "doc_id", chunking.overlap(F.col("c"), 200), "chunk_index", "content")
 
 
 @query()
 def c9_structural(s: SparkSession, d: str) -> DataFrame:
     """Headings or line heuristics, capped."""
     x = t(s, d, "documents").select("doc_id", F.lit("").alias("markdown"), F.array("text").alias("pages"))
-    return chunking.split_structural(x, "ACADEMIC").select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return tx.unrolled(chunking.split_structural(x, "ACADEMIC"), "doc_id", F.col("chunks"), "chunk_index", "content")
 
 
 @query()
 def c17_semantic(s: SparkSession, d: str) -> DataFrame:
     """Breaks where neighbouring windows' embeddings differ most."""
     x = t(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("markdown"))
-    return chunking.split_semantic(x, "doc_id").select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return tx.unrolled(chunking.split_semantic(x, "doc_id"), "doc_id", F.col("chunks"), "chunk_index", "content")
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace('# ' || text || ' *end*', '[#*`_~\\[\\]()!>]', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
@@ -399,8 +399,9 @@ def r7_lexical_search(s: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS l FROM documents WHERE lang = 'en')
  SELECT doc_id, len(list_filter(l, lambda x: x = 'the' OR x = 'ering'))::BIGINT AS hits FROM w WHERE list_contains(l, 'the') AND list_contains(l, 'ering')""")
 def r4_index_match(s: SparkSession, d: str) -> DataFrame:
-    """R4 by an inverted index, over words as they stand."""
-    return search.index_match(search.inverted_index(_plain_chunks(s, d)), ["the", "ering"]).select(F.col("id").alias("doc_id"), "hits")
+    """R4 by the part of an inverted index that the query needs, over words as they stand."""
+    wanted = ["the", "ering"]
+    return search.index_match(search.inverted_index(_plain_chunks(s, d), wanted), wanted).select(F.col("id").alias("doc_id"), "hits")
 
 
 def _plain_chunks(s: SparkSession, d: str) -> DataFrame:
@@ -549,7 +550,7 @@ PLACES = f"""w AS (SELECT doc_id, lang, regexp_extract_all(lower({PLAIN}), '[\\p
 @query(f"WITH {PLACES} SELECT doc_id, count(*) AS n, sum(p)::BIGINT AS places, max(p)::BIGINT AS last FROM o WHERE w NOT IN ({STOPS}) GROUP BY doc_id")
 def r2_positions(s: SparkSession, d: str) -> DataFrame:
     """R2: how many lexemes, and where: stop words are left out and keep their places."""
-    x = t(s, d, "documents").select("doc_id", F.explode(analysis.to_lexemes(tx.strip_markdown(F.col("text")))).alias("l"))
+    x = t(s, d, "documents").select("doc_id", F.explode_outer(analysis.to_lexemes(tx.strip_markdown(F.col("text")))).alias("l")).filter("l IS NOT NULL")
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("l.pos").alias("places"), F.max("l.pos").cast("long").alias("last"))
 
 
@@ -587,6 +588,20 @@ def r5_cover_density(s: SparkSession, d: str) -> DataFrame:
     return c.select(analysis.rank_cd(F.col("lexemes"), wanted).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("scores"))
 
 
+HEADLINE = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'),
+ h AS (SELECT doc_id, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN list_has_any(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), ['th', 'nd']) THEN 1 ELSE 0 END) AS h FROM w),
+ c AS (SELECT *, list_transform(range(0, greatest(1, n - 34)), lambda i: coalesce(list_sum(h[i + 1:i + 35]), 0)::INT) AS inside FROM h),
+ b AS (SELECT *, list_position(inside, list_max(inside)) - 1 AS at0 FROM c),
+ e AS (SELECT *, least(n, at0 + 35) AS stop FROM b), f AS (SELECT *, greatest(0, least(at0, stop - 15)) AS a1 FROM e)"""
+
+
+@query(f"WITH {HEADLINE} SELECT doc_id, array_to_string(list_transform(w[a1 + 1:stop], lambda x, i: CASE WHEN h[a1 + i] = 1 THEN '<b>' || x || '</b>' ELSE x END), ' ') AS headline FROM f")
+def r6_headline(s: SparkSession, d: str) -> DataFrame:
+    """Of each text the window with the most words of the query, those in bold."""
+    docs = t(s, d, "documents").filter("lang = 'en'")
+    return docs.select("doc_id", analysis.to_headline(F.col("text"), analysis.query_lexemes("th nd")).alias("headline"))
+
+
 HYBRID = f"""{PLACES}, lex AS (SELECT doc_id, id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SELECT doc_id, doc_id::VARCHAR AS id, 0.1e0 * count(*) AS score FROM o WHERE w = 'th' AND lang = 'en' GROUP BY doc_id)),
  vec AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM (SELECT e.vec_id::VARCHAR AS id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS sim
          FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 0 AND d.lang = 'en')),
@@ -784,7 +799,7 @@ def c5_c6_recipes(s: SparkSession, d: str) -> DataFrame:
     """Headings that only part a recipe don't part chunks, and the level above the first of them does."""
     one = lambda i: F.concat(F.lit("## Dish "), F.col("p_partkey").cast("string"), F.lit("\n### Ingredients\n"), "p_name", F.lit("\n### Method\n"), "p_type", F.lit(f" {i}"))
     x = t(s, d, "part").select("p_partkey", F.concat_ws("\n", *[one(i) for i in range(3)]).alias("markdown"))
-    return chunking.split_headings(x, preferred=4, min_chars=5, excluded=("ingredients", "method")).select("p_partkey", F.posexplode("chunks").alias("chunk_index", "content"))
+    return tx.unrolled(chunking.split_headings(x, preferred=4, min_chars=5, excluded=("ingredients", "method")), "p_partkey", F.col("chunks"), "chunk_index", "content")
 
 
 @query(f"""WITH {LINES.replace('FROM documents)', "FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents))")},
@@ -797,7 +812,7 @@ def c5_c6_recipes(s: SparkSession, d: str) -> DataFrame:
 def c13_heuristic(s: SparkSession, d: str) -> DataFrame:
     """Lines that look like headings in their context begin segments; short ones are merged."""
     x = t(s, d, "documents").select("doc_id", F.array("text").alias("pages"))
-    return chunking.split_heuristic(x).select("doc_id", F.posexplode("chunks").alias("chunk_index", "content"))
+    return tx.unrolled(chunking.split_heuristic(x), "doc_id", F.col("chunks"), "chunk_index", "content")
 
 
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'TOKEN' WHEN 1 THEN 'SEMANTIC' ELSE 'STRUCTURAL' END AS chunk_strategy, left(regexp_replace(lower(text), '\\s+', '', 'g'), 100) AS begins FROM documents")
