@@ -21,6 +21,8 @@ from .common import fit_on_executor, held_out, labelled_sample, table
 from .ftrl import fit, sigmoid, slots
 
 BITS = 18
+#: Bytes of the beginnings of words that count as features.
+BEGINNINGS = (4, 5)
 #: The chain's order. ``labels`` marks only toxic rows; the two finer links' labels are
 #: learned: toxic rows fall into two kinds by which telling words come together.
 KINDS = ("kind_a", "kind_b")
@@ -53,7 +55,7 @@ def features(text: str | None) -> np.ndarray:
         words, first = np.unique(bw.between(total, starts, ends), return_index=True)
         starts, ends = starts[first], ends[first]
         found.append(slots(words, BITS))
-        for k in (4, 5):
+        for k in BEGINNINGS:
             found.append(slots(bw.between(total, starts, np.minimum(ends, starts + k)) + np.uint64(k * 0x9E37), BITS))
     return bw.distinct(np.concatenate(found))
 
