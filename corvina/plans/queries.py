@@ -516,13 +516,32 @@ def p8_font_headings(s: SparkSession, d: str) -> DataFrame:
     return layout.font_markdown(x)
 
 
-@query()
+#: A page without what isn't shown, and the entities of what is.
+SHOWN = "regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(head|script|style|nav|aside|footer|figure)\\b[^>]*>.*?</(head|script|style|nav|aside|footer|figure)>', '', 'g')"
+BLOCKS = "address|article|aside|blockquote|details|div|dl|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|main|nav|ol|p|pre|section|table|ul|br|li|tr|td|th"
+
+
+def _spelt(x: str) -> str:
+    """SQL for text with its other tags gone, entities spelt and white space collapsed."""
+    x = f"regexp_replace({x}, '<[!/a-zA-Z][^>]*>', '', 'g')"
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    return f"regexp_replace({x}, '\\s+', ' ', 'g')"
+
+
+T1_PARTS = _spelt("regexp_replace(regexp_replace(regexp_replace(" + SHOWN + ", '<h1>', chr(1) || '# ', 'g'), '<br>', ' ', 'g'), '</?(p|h1|div|article|body|html)\\b[^>]*>', chr(1), 'g')")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform(string_split({T1_PARTS}, chr(1)), lambda x: trim(x)), lambda x: x <> ''), chr(10) || chr(10)) AS markdown FROM pages")
 def t1_html_markdown(s: SparkSession, d: str) -> DataFrame:
     """T1 to T3 over whole pages."""
     return t(s, d, "pages").select("page_id", markup.to_markdown(F.col("html")).alias("markdown"))
 
 
-@query()
+S12_TEXT = _spelt("regexp_replace(" + SHOWN + ", '(?i)</?(" + BLOCKS + ")\\b[^>]*>', ' ', 'g')")
+
+
+@query(f"SELECT page_id, trim({S12_TEXT}) AS text FROM pages")
 def s12_plain_text(s: SparkSession, d: str) -> DataFrame:
     return t(s, d, "pages").select("page_id", markup.to_text(F.col("html")).alias("text"))
 
@@ -588,11 +607,11 @@ def r5_cover_density(s: SparkSession, d: str) -> DataFrame:
     return c.select(analysis.rank_cd(F.col("lexemes"), wanted).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("scores"))
 
 
-HEADLINE = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'),
- h AS (SELECT doc_id, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN list_has_any(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), ['th', 'nd']) THEN 1 ELSE 0 END) AS h FROM w),
- c AS (SELECT *, list_transform(range(0, greatest(1, n - 34)), lambda i: coalesce(list_sum(h[i + 1:i + 35]), 0)::INT) AS inside FROM h),
- b AS (SELECT *, list_position(inside, list_max(inside)) - 1 AS at0 FROM c),
- e AS (SELECT *, least(n, at0 + 35) AS stop FROM b), f AS (SELECT *, greatest(0, least(at0, stop - 15)) AS a1 FROM e)"""
+HEADLINE = """hw AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'),
+ h AS (SELECT doc_id, w, len(w) AS n, list_transform(w, lambda x: CASE WHEN list_has_any(regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+'), ['th', 'nd']) THEN 1 ELSE 0 END) AS h FROM hw),
+ hc AS (SELECT *, list_transform(range(0, greatest(1, n - 34)), lambda i: coalesce(list_sum(h[i + 1:i + 35]), 0)::INT) AS inside FROM h),
+ hb AS (SELECT *, list_position(inside, list_max(inside)) - 1 AS at0 FROM hc),
+ he AS (SELECT *, least(n, at0 + 35) AS stop FROM hb), f AS (SELECT *, greatest(0, least(at0, stop - 15)) AS a1 FROM he)"""
 
 
 @query(f"WITH {HEADLINE} SELECT doc_id, array_to_string(list_transform(w[a1 + 1:stop], lambda x, i: CASE WHEN h[a1 + i] = 1 THEN '<b>' || x || '</b>' ELSE x END), ' ') AS headline FROM f")
@@ -624,6 +643,26 @@ def r16_sources(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(r["rank"], r["chunk_id"], r["document_title"]) for r in got["sources"]], "rank int, chunk_id string, document_title string")
 
 
+@query(f"""WITH {TWO_WORDS}, {HEADLINE},
+ best AS (SELECT id::BIGINT AS doc_id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id::BIGINT) AS rank FROM x)
+ SELECT rank::INT AS rank, doc_id, score, array_to_string(list_transform(f.w[a1 + 1:stop], lambda x, i: CASE WHEN h[a1 + i] = 1 THEN '<b>' || x || '</b>' ELSE x END), ' ') AS headline FROM best JOIN f USING (doc_id) WHERE rank <= 20""")
+def r7_ranked(s: SparkSession, d: str) -> DataFrame:
+    """Analysed texts that hold both words, by cover density, the best twenty with their headlines."""
+    wanted = analysis.query_lexemes("th nd")
+    docs = t(s, d, "documents").filter("lang = 'en'")
+    c = docs.select(F.col("doc_id").alias("id"), analysis.to_lexemes(tx.strip_markdown(F.col("text"))).alias("lexemes"))
+    hits = c.filter(analysis.matches(F.col("lexemes"), wanted)).select("id", F.round(analysis.rank_cd(F.col("lexemes"), wanted), 9).alias("score"))
+    page = F.broadcast(search.top(hits, "score", "id", 20))  # twenty rows
+    shown = docs.select(F.col("doc_id").alias("id"), "text").join(page, "id")
+    return shown.select("rank", F.col("id").alias("doc_id"), "score", analysis.to_headline(F.col("text"), wanted).alias("headline"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents WHERE lang = 'fr' LIMIT 20)")
+def o4_slice(s: SparkSession, d: str) -> DataFrame:
+    """An unordered page; any twenty rows will do, so they are counted."""
+    return t(s, d, "documents").filter("lang = 'fr'").select("doc_id").limit(20).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+
+
 @query("SELECT n_name, (n_nationkey + 1)::INT AS place FROM nation WHERE n_nationkey < 7 UNION ALL SELECT r_name, (7 + r_regionkey + 1)::INT FROM region WHERE r_regionkey < 2")
 def r14_rerank(s: SparkSession, d: str) -> DataFrame:
     """A model names some passages first, those it leaves out follow, the best nine are taken."""
