@@ -2,13 +2,13 @@
 
 A fingerprint is cut into few segments, so that one of them differs in at most one bit
 between near copies; each fingerprint is indexed under every segment with each of its
-bits wildcarded in turn, and what shares a variant is compared. ``EXACT`` (64 bits, three
-segments, 4 bits apart) finds every link by that argument; ``WIDE`` (128 bits, six
-segments) links texts whose five-word shingles are about 0.8 alike: fingerprints that
-have a segment with at most one bit between them and at most 19 bits in all.
+bits wildcarded in turn, and what shares a variant is compared. With two bits in every
+segment a pair would be too far apart to link, so every link is found: ``EXACT`` (64 bits,
+three segments) links at 4 bits, ``WIDE`` (128 bits, ten segments) at 19, which is texts
+whose five-word shingles are about 0.8 alike.
 Buckets are never expanded into pairs: a bucket yields a forest that joins its linked
-fingerprints. A bucket beyond LIMIT is indexed again by the remaining bits, and what is
-still beyond it is split into pairs of blocks, so no task holds an unbounded group.
+fingerprints. A bucket beyond the limit is indexed again by the remaining bits (``EXACT``),
+and what is still beyond it is split into pairs of blocks, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -32,11 +32,16 @@ LIMIT = 4096
 
 @dataclass(frozen=True)
 class Spec:
-    """Words of a shingle, segments (start, length) of the fingerprint's 64-bit words in a row, and the most bits a link differs in."""
+    """Words of a shingle, segments (start, length) of the fingerprint's 64-bit words in a row, the most bits a link differs in, and the rows of a bucket that a task holds."""
 
     shingle: int
     segments: tuple[tuple[int, int], ...]
     most: int
+    limit: int = LIMIT
+
+    def __post_init__(self) -> None:
+        if self.most >= 2 * len(self.segments):
+            raise ValueError("a link could differ in two bits of every segment")
 
     @property
     def words(self) -> int:
@@ -44,7 +49,8 @@ class Spec:
 
 
 EXACT = Spec(4, ((0, 22), (22, 21), (43, 21)), 4)
-WIDE = Spec(5, ((0, 22), (22, 21), (43, 21), (64, 22), (86, 21), (107, 21)), 19)
+# short segments fill buckets evenly: more rows of 24 bytes are held at once than split into blocks
+WIDE = Spec(5, tuple((64 * k + s, n) for k in range(2) for s, n in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))), 19, 1 << 16)
 
 
 def fingerprint(text: str | None, shingle: int = EXACT.shingle) -> int:
@@ -168,7 +174,11 @@ def _compare(batches: Iterator[pa.RecordBatch], spec: Spec, limit: int) -> Itera
             part = [f[g] for f in fps]
 
             def near(r: slice, s: slice, part: list[np.ndarray] = part) -> np.ndarray:
-                return sum(np.bitwise_count(f[r, None] ^ f[None, s]).astype(np.int16) for f in part) <= spec.most
+                close = np.bitwise_count(part[0][r, None] ^ part[0][None, s]) <= spec.most
+                if len(part) > 1:  # the other words of the few that the first leaves
+                    i, j = np.nonzero(close)
+                    close[i, j] = sum(np.bitwise_count(f[r][i] ^ f[s][j]).astype(np.int16) for f in part) <= spec.most
+                return close
 
             label = bk.forest(len(part[0]), bk.blocks(len(part[0]), near))
             i = np.flatnonzero(label != np.arange(len(part[0])))
@@ -187,8 +197,9 @@ def _edges(keyed: DataFrame, spec: Spec, limit: int) -> DataFrame:
     )
 
 
-def link_fingerprints(fps: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) -> DataFrame:
+def link_fingerprints(fps: DataFrame, spec: Spec = EXACT, limit: int | None = None) -> DataFrame:
     """Edges (a, b) of nodes, over the distinct fingerprints of columns ``f0``, …, whose components are those of all links."""
+    limit = spec.limit if limit is None else limit
     wide = max(n for _, n in spec.segments)
     names = _words(spec)
     ends = lambda df: df.filter(~F.col("hot")).select(node(spec).alias("a"), node(spec, "b").alias("b"))
@@ -215,7 +226,7 @@ def link_fingerprints(fps: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) ->
     return edges.union(ends(_edges(b, spec, 1 << 30)))
 
 
-def _rooted(fps: DataFrame, spec: Spec, limit: int) -> DataFrame:
+def _rooted(fps: DataFrame, spec: Spec, limit: int | None) -> DataFrame:
     """``fps``, a row for each fingerprint, with ``fp``, its node, and ``root``, the smallest node that links lead to."""
     fps = fps.withColumn("fp", node(spec))
     parts = connected_components(link_fingerprints(fps, spec, limit)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
@@ -223,7 +234,7 @@ def _rooted(fps: DataFrame, spec: Spec, limit: int) -> DataFrame:
     return materialise(rooted, "rooted")
 
 
-def near_duplicates(docs: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, spec: Spec = EXACT, limit: int | None = None) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of ``docs``.
 
     Equal fingerprints are one node, whatever their number; the component is the smallest
@@ -239,7 +250,7 @@ def near_duplicates(docs: DataFrame, spec: Spec = EXACT, limit: int = LIMIT) ->
     return d.join(of_fp, names).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, spec: Spec = WIDE, limit: int = LIMIT) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, spec: Spec = WIDE, limit: int | None = None) -> DataFrame:
     """One row of each component, all columns as they came: that of the smallest doc_id, null ids last.
 
     Rows are told apart by all their columns, so null and repeated ids stay as often as

@@ -184,6 +184,33 @@ def test_wide_fingerprints_match_brute_force(spark):
     assert kept == set(want)
 
 
+def test_wide_links_miss_no_pair_within_the_bits(spark):
+    # two bits or more in each sixth of the fingerprint, so that no sixth finds the pair
+    for seed in (5011, 5015, 5044):
+        w = prose(seed, 120).split()
+        edited = " ".join("edited" if i in (20, 60, 100) else x for i, x in enumerate(w))
+        a, b = (simhash.wide_fingerprint(t) for t in (" ".join(w), edited))
+        assert np.bitwise_count(a ^ b).sum() <= 19
+        assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs_of(spark, [" ".join(w), edited])).collect()] == [0]
+    # bits spread evenly over random fingerprints and by chance, on both sides of the threshold
+    rng = np.random.default_rng(3)
+    f = []
+    for k in range(240):
+        x = int.from_bytes(rng.bytes(16))
+        at = (int(rng.integers(128)) + np.arange(15 + k % 8) * 128 // (15 + k % 8)) % 128 if k % 2 else rng.choice(128, 15 + k % 8, replace=False)
+        f += [x, x ^ sum(1 << int(b) for b in at)]
+    want = unite(len(f), [(i, j) for i in range(len(f)) for j in range(i) if (f[i] ^ f[j]).bit_count() <= 19])
+    assert len(f) > len(set(want)) > len(f) // 2
+    signed = lambda x: x - (x >> 63 << 64)
+    fps = spark.createDataFrame([(signed(x & (1 << 64) - 1), signed(x >> 64)) for x in f], "f0 long, f1 long")
+    at = {f"{x & (1 << 64) - 1:016X}{x >> 64:016X}": i for i, x in enumerate(f)}
+    for limit in (None, 4096, 2):
+        edges = simhash.link_fingerprints(fps, simhash.WIDE, limit).collect()
+        assert unite(len(f), [(at[r["a"]], at[r["b"]]) for r in edges]) == want
+    with pytest.raises(ValueError):
+        simhash.Spec(5, simhash.WIDE.segments[:9], 19)
+
+
 def test_stages_keep_rows_by_text_not_by_id(spark):
     unlike = [prose(3000 + i, 60) for i in range(10)]
     rows = [(None, t, "en", "s", None, 9, "k") for t in unlike]  # null ids, unlike texts
