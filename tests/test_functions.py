@@ -117,3 +117,10 @@ def test_stored_index_is_searched_by_lexeme(spark, tmp_path):
     found = search.index_match(index, ["even", "w3"])
     assert sorted(r["id"] for r in found.collect()) == [i for i in range(50) if i % 2 == 0 and i % 7 == 3]
     assert "PushedFilters: [In(lexeme" in found._jdf.queryExecution().toString()
+
+
+def test_ranking_gives_python_wanted_lexemes_only(spark):
+    rows = [([("a", 1), ("x", 2), ("b", 3), ("y", 4), ("a", 5)],), ([("a", 1)],), (None,), ([],)]
+    df = spark.createDataFrame(rows, "lex " + analysis.LEXEMES).select(analysis.rank_cd(F.col("lex"), ["a", "b"]).alias("r"))
+    assert "ranked(filter(lex" in df._jdf.queryExecution().analyzed().toString()
+    assert [r["r"] for r in df.collect()] == [pytest.approx(0.1), 0.0, 0.0, 0.0]
