@@ -124,3 +124,13 @@ def test_ranking_gives_python_wanted_lexemes_only(spark):
     df = spark.createDataFrame(rows, "lex " + analysis.LEXEMES).select(analysis.rank_cd(F.col("lex"), ["a", "b"]).alias("r"))
     assert "ranked(filter(lex" in df._jdf.queryExecution().analyzed().toString()
     assert [r["r"] for r in df.collect()] == [pytest.approx(0.1), 0.0, 0.0, 0.0]
+
+
+def test_lexemes_leave_python_in_bounded_arrays(spark):
+    import pyarrow as pa
+
+    texts = ["cats purring", None, "", "the dogs barked at night", "rain"] * 40
+    got = list(analysis.lexeme_arrays(pa.array(texts, pa.string()), 10))
+    assert len(got) > 10 and max(len(x.flatten()) for x in got) < 10 + 3
+    assert [[(v["lexeme"], v["pos"]) for v in r] for x in got for r in x.to_pylist()] == [analysis.lexemes(t) for t in texts]
+    assert [len(x) for x in analysis.lexeme_arrays(pa.array([], pa.string()))] == [0]
