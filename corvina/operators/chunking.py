@@ -179,13 +179,13 @@ def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_kee
 
 
 def token_chunks(c: Column, size: int = 600, vocabulary: str | None = None) -> Column:
-    """``token_split`` of a column, by a vocabulary file's tokens where one is given."""
+    """``token_split`` of a column, by a vocabulary file's tokens where one is given. A text that is a crumb as a whole stays."""
 
     @F.pandas_udf(STRINGS)
     def split(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
         spans = vocabulary_spans(vocabulary) if vocabulary else regex_spans
         for s in rows:
-            yield s.map(lambda t: token_split(t, size, spans=spans))
+            yield s.map(lambda t: token_split(t, size, spans=spans) or [x for x in [(t or "").strip()] if x])
 
     return split.asNondeterministic()(c)
 

@@ -280,3 +280,8 @@ def test_search_page_and_detail(spark):
     with pytest.raises(schema.NotFound):
         search.chunk_detail(chunk, document, "zz")
     assert catalog.default_domain(spark.createDataFrame([("2", "b"), ("1", "a")], "id string, name string")).first()["id"] == "1"
+
+
+def test_text_that_is_a_crumb_stays(spark):
+    df = spark.createDataFrame([("a", " avec.\n"), ("b", " "), ("c", None), ("d", "Rain fell.")], "id string, t string")
+    assert {r["id"]: r["c"] for r in df.select("id", chunking.token_chunks(F.col("t")).alias("c")).collect()} == {"a": ["avec."], "b": [], "c": [], "d": ["Rain fell."]}
