@@ -285,3 +285,9 @@ def test_search_page_and_detail(spark):
 def test_text_that_is_a_crumb_stays(spark):
     df = spark.createDataFrame([("a", " avec.\n"), ("b", " "), ("c", None), ("d", "Rain fell.")], "id string, t string")
     assert {r["id"]: r["c"] for r in df.select("id", chunking.token_chunks(F.col("t")).alias("c")).collect()} == {"a": ["avec."], "b": [], "c": [], "d": ["Rain fell."]}
+
+
+def test_references_without_semicolon_stay(spark):
+    page = "<h1>Salt &amp; ash&amp</h1><p>1 &lt; 2 &lt3 &#38; &#38 &nosuch; &copy2</p>"
+    assert markup.html_to_markdown(page) == "# Salt & ash&amp\n\n1 < 2 &lt3 & &#38 &nosuch; &copy2"
+    assert markup.html_to_text(page) == "Salt & ash&amp 1 < 2 &lt3 & &#38 &nosuch; &copy2"
