@@ -3,11 +3,13 @@ built by higher-order functions, and only token splitting and embedding need Pyt
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +133,7 @@ def split_heuristic(df: DataFrame, pages: str = "pages", boundary: Boundary = Bo
 
 
 Spans = Callable[[str], list[tuple[int, int]]]
+Ends = Callable[[str], list[int]]
 
 
 def regex_spans(text: str) -> list[tuple[int, int]]:
@@ -150,16 +153,83 @@ def vocabulary_spans(path: str) -> Spans:
     return lambda text: t.encode(text, add_special_tokens=False).offsets
 
 
-def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int | None = None, spans: Spans = regex_spans) -> list[str]:
+#: Before a lone blank or line feed between signs that nobody counts as white space: there the byte-level word pattern parts, whatever surrounds it.
+_CUT = re.compile(r"(?<=[!-~\w])(?=[ \n][!-~\w])")
+#: Words of which a worker remembers the tokens; twice as many for a while.
+REMEMBERED = 1 << 17
+
+
+@lru_cache(maxsize=4)
+def vocabulary_ends(path: str) -> Ends:
+    """Where a vocabulary's tokens end, in characters: as ``vocabulary_spans``, but a byte-level vocabulary's follow from the tokens' bytes, and words that were seen lately aren't encoded again."""
+    from tokenizers import Tokenizer
+
+    spans = vocabulary_spans(path)
+    by_library = lambda text: [b for _, b in spans(text)]
+    t = Tokenizer.from_file(path)
+    d = json.loads(t.to_str())
+    level, model = d.get("pre_tokenizer") or {}, d["model"]
+    plain = not any(d.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and all(a["special"] for a in d.get("added_tokens") or [])
+    by_bytes = model["type"] == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+    if not (plain and by_bytes and level.get("type") == "ByteLevel" and not level["add_prefix_space"] and hasattr(t, "encode_batch_fast")):
+        return by_library
+    t.encode_special_tokens = True
+    size = np.zeros(max(model["vocab"].values()) + 1, np.int64)  # a byte is a sign of the token's string
+    for w, i in model["vocab"].items():
+        size[i] = len(w)
+    if size.max() > 255:
+        return by_library
+    size = size.astype(np.uint8)
+    known: dict[str, bytes] = {}
+    before: dict[str, bytes] = {}
+
+    def sizes(text: str) -> bytes:
+        return size[t.encode_batch_fast([text], add_special_tokens=False)[0].ids].tobytes() if text else b""
+
+    def learn(words: list[str]) -> None:
+        """Encode words that begin with a blank or line feed in one go, as they part in any company."""
+        found = sizes("".join(words))
+        stops = np.cumsum([len(w.encode()) for w in words])
+        at = 0
+        for w, to in zip(words, np.searchsorted(np.cumsum(np.frombuffer(found, np.uint8), dtype=np.int64), stops).tolist(), strict=True):
+            known[w] = found[at : to + 1]
+            at = to + 1
+
+    def ends(text: str) -> list[int]:
+        nonlocal known, before
+        words = _CUT.split(text)
+        if len(words) < 3:
+            parts = [sizes(text)]
+        else:
+            if len(known) > REMEMBERED:
+                known, before = {}, known
+            inner = words[1:-1]  # the outer ones may have white space at the text's ends
+            found = list(map(known.get, inner))
+            if None in found:
+                missing = dict.fromkeys(w for w, x in zip(inner, found, strict=True) if x is None)
+                known.update((w, before[w]) for w in missing if w in before)
+                learn([w for w in missing if w not in known])
+                found = list(map(known.get, inner))
+            parts = [sizes(words[0]), *found, sizes(words[-1])]
+        data = np.frombuffer(text.encode(), np.uint8)
+        stop = np.cumsum(np.frombuffer(b"".join(parts), np.uint8), dtype=np.int64)
+        if not len(stop) or stop[-1] != len(data):
+            return by_library(text)
+        return (stop if len(data) == len(text) else np.cumsum((data & 0xC0) != 0x80)[stop - 1]).tolist()
+
+    return ends
+
+
+def token_split(text: str | None, size: int = 600, min_chars: int = 350, min_keep: int = 5, most: int | None = None, spans: Spans = regex_spans, ends_of: Ends | None = None) -> list[str]:
     """Chunks of at most ``size`` tokens, cut back to the last sentence end beyond ``min_chars``; crumbs are dropped.
 
-    The text is tokenised once; a chunk begins at the token in which the one before
+    The text is tokenised once, by ``spans`` or, where only the ends are given, ``ends_of``; a chunk begins at the token in which the one before
     ended. Goes on until the text ends, unless ``most`` is given: what is left after so
     many chunks is then one more, of any length.
     """
     text = text or ""
     end, at, k = len(text.rstrip()), 0, 0
-    ends = [b for _, b in spans(text)]
+    ends = ends_of(text) if ends_of else [b for _, b in spans(text)]
     out: list[str] = []
     while at < end and k < len(ends):
         if most is not None and len(out) >= most:
@@ -183,9 +253,9 @@ def token_chunks(c: Column, size: int = 600, vocabulary: str | None = None) -> C
 
     @F.pandas_udf(STRINGS)
     def split(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spans = vocabulary_spans(vocabulary) if vocabulary else regex_spans
+        ends_of = vocabulary_ends(vocabulary) if vocabulary else None
         for s in rows:
-            yield s.map(lambda t: token_split(t, size, spans=spans) or [x for x in [(t or "").strip()] if x])
+            yield s.map(lambda t: token_split(t, size, ends_of=ends_of) or [x for x in [(t or "").strip()] if x])
 
     return split.asNondeterministic()(c)
 

@@ -291,3 +291,16 @@ def test_references_without_semicolon_stay(spark):
     page = "<h1>Salt &amp; ash&amp</h1><p>1 &lt; 2 &lt3 &#38; &#38 &nosuch; &copy2</p>"
     assert markup.html_to_markdown(page) == "# Salt & ash&amp\n\n1 < 2 &lt3 & &#38 &nosuch; &copy2"
     assert markup.html_to_text(page) == "Salt & ash&amp 1 < 2 &lt3 & &#38 &nosuch; &copy2"
+
+
+def test_token_ends_follow_from_bytes(monkeypatch):
+    import random
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    spans, ends = chunking.vocabulary_spans(path), chunking.vocabulary_ends(path)
+    pick = random.Random(3)
+    monkeypatch.setattr(chunking, "REMEMBERED", 50)  # so that words are forgotten, too
+    for n in [0, 1, 2, 5, 30, 300] * 30:
+        words = ["".join(pick.choice(" \n\t　'sdet12é日😀.,!_<|>") for _ in range(pick.randint(0, 6))) for _ in range(n)]
+        text = pick.choice(" \n").join(words).replace("tt", "<|endoftext|>")
+        assert ends(text) == [b for _, b in spans(text)]
