@@ -44,7 +44,7 @@ def apply_order(ranked: DataFrame, order: list[int], top_k: int) -> DataFrame:
 
 def contents(results: DataFrame, chunk: DataFrame) -> DataFrame:
     """Results with their chunks' content, or the headline where the chunk has gone."""
-    c = chunk.select(F.col("id").alias("chunk_id"), "content")
+    c = chunk.select(F.col("id").alias("chunk_id"), "content").join(F.broadcast(results.select("chunk_id").distinct()), "chunk_id", "left_semi")  # a page of them
     return results.join(c, "chunk_id", "left").withColumn("content", F.coalesce("content", "headline"))
 
 
@@ -58,7 +58,8 @@ def context(results: DataFrame) -> DataFrame:
 def rag_answer(chunk: DataFrame, document: DataFrame, query: str, embed: Callable[[str], list[float]], domain_id: str, chat: Chat, options: Options = Options()) -> dict:
     """Answer with sources: candidates, reranked where wanted, their contents as the model's context."""
     found = hybrid_search(chunk, document, query, embed, domain_id, size=options.candidates, options=options)
-    rows = contents(found.results, chunk).orderBy("rank").collect()  # one page
+    page = chunk.sparkSession.createDataFrame(found.results.collect(), found.results.schema)  # one page
+    rows = contents(page, chunk).orderBy("rank").collect()
     if options.rerank:
         rows = rerank(query, rows, options.context_chunks, lambda r: r["content"], chat, options.strict_parity)
     rows = rows[: options.context_chunks]

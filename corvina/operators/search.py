@@ -112,7 +112,7 @@ def hydrate(ranked: DataFrame, chunk: DataFrame, document: DataFrame, query: str
     page = F.broadcast(ranked)  # at most one page of ids
     c = chunk.select("id", "document_id", "domain_id", "chunk_index", "chunk_strategy", "tag_paths", "content").join(page, "id")
     d = document.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("author").alias("document_author"))
-    return c.join(d, "document_id").select(
+    return d.join(F.broadcast(c), "document_id").select(
         "rank", F.col("id").alias("chunk_id"), "document_id", "domain_id", "chunk_index", "chunk_strategy", "tag_paths",
         analysis.to_headline(F.col("content"), analysis.query_lexemes(query)).alias("headline"), "score", "document_title", "document_author",
         search_type(F.col("lex_rank"), F.col("vec_rank")).alias("search_type"),

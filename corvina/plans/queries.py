@@ -576,7 +576,8 @@ def r2_positions(s: SparkSession, d: str) -> DataFrame:
 def _chunks(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(chunk, document): a text a chunk, with its analysed words and the embedding of its id."""
     docs = t(s, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", "text", "lang", "source")
-    e = t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    # one row an id, which the plan must know: what doesn't read embeddings then needs no join, and no text is shuffled
+    e = t(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding").dropDuplicates(["doc_id"])
     chunk = docs.join(e, "doc_id", "left").select(
         "id", F.col("id").alias("document_id"), F.col("lang").alias("domain_id"), F.array(F.concat_ws(".", "lang", "source")).alias("tag_paths"), F.col("text").alias("content"), "embedding",
         F.lit(0).alias("chunk_index"), F.lit("TOKEN").alias("chunk_strategy"), analysis.to_lexemes(tx.strip_markdown(F.col("text"))).alias("lexemes"),

@@ -304,3 +304,19 @@ def test_token_ends_follow_from_bytes(monkeypatch):
         words = ["".join(pick.choice(" \n\t　'sdet12é日😀.,!_<|>") for _ in range(pick.randint(0, 6))) for _ in range(n)]
         text = pick.choice(" \n").join(words).replace("tt", "<|endoftext|>")
         assert ends(text) == [b for _, b in spans(text)]
+
+
+def test_texts_are_not_shuffled_for_their_embeddings(spark):
+    import __spark_entry__ as entry
+    from corvina.plans import queries
+
+    chunk, document = queries._chunks(spark, entry.SMOKE_DIR)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for read in (chunk.select("id", "lexemes"), chunk.select("id", "content")):
+        assert "Join" not in plan(read) and "Exchange" not in plan(read)
+    ranked = spark.createDataFrame([("3", 0.5, 1, None, 1)], "id string, score double, lex_rank int, vec_rank int, rank int")
+    shown = answers.contents(spark.createDataFrame([("3", 1, "head"), ("gone", 2, "kept")], "chunk_id string, rank int, headline string"), chunk)
+    for read in (search.hydrate(ranked, chunk, document, "th"), chunk.select("id", "embedding")):
+        assert read.count() > 0
+    scan = [x for x in plan(shown).split("\n") if "SortMergeJoin" in x and "LeftOuter" not in x]
+    assert not scan and {r["chunk_id"]: r["content"] == r["headline"] for r in shown.collect()} == {"3": False, "gone": True}
