@@ -838,7 +838,9 @@ RECIPES = "'## Dish ' || p_partkey || chr(10) || '### Ingredients' || chr(10) ||
 def c5_c6_recipes(s: SparkSession, d: str) -> DataFrame:
     """Headings that only part a recipe don't part chunks, and the level above the first of them does."""
     one = lambda i: F.concat(F.lit("## Dish "), F.col("p_partkey").cast("string"), F.lit("\n### Ingredients\n"), "p_name", F.lit("\n### Method\n"), "p_type", F.lit(f" {i}"))
-    x = t(s, d, "part").select("p_partkey", F.concat_ws("\n", *[one(i) for i in range(3)]).alias("markdown"))
+    part = t(s, d, "part").select("p_partkey", "p_name", "p_type")
+    part = part.repartition(4 * s.sparkContext.defaultParallelism, "p_partkey")  # a small file of many rows is one task, and a row's split takes longer than its way
+    x = part.select("p_partkey", F.concat_ws("\n", *[one(i) for i in range(3)]).alias("markdown"))
     return tx.unrolled(chunking.split_headings(x, preferred=4, min_chars=5, excluded=("ingredients", "method")), "p_partkey", F.col("chunks"), "chunk_index", "content")
 
 

@@ -320,3 +320,9 @@ def test_texts_are_not_shuffled_for_their_embeddings(spark):
         assert read.count() > 0
     scan = [x for x in plan(shown).split("\n") if "SortMergeJoin" in x and "LeftOuter" not in x]
     assert not scan and {r["chunk_id"]: r["content"] == r["headline"] for r in shown.collect()} == {"3": False, "gone": True}
+
+
+def test_rows_of_a_small_file_are_spread(spark):
+    import __spark_entry__ as entry
+
+    assert entry.queries()["c5_c6_recipes"](spark, entry.SMOKE_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
