@@ -10,10 +10,18 @@ def _dot(a: Column, b: Column, kind: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast(kind) * y.cast(kind)).cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(a: Column, kind: str = "double") -> Column:
+    return F.sqrt(_dot(a, a, kind))
+
+
+def cosine_of(a: Column, b: Column, norms: Column, kind: str = "double") -> Column:
+    """Cosine, given the product of the norms; 0 where that is 0."""
+    return F.when(norms == 0, F.lit(0.0)).otherwise(F.try_divide(_dot(a, b, kind), norms))
+
+
 def cosine_similarity(a: Column, b: Column, kind: str = "double") -> Column:
     """Cosine; 0 where a norm is 0. ``kind="float"`` multiplies in single precision and adds in double."""
-    norms = F.sqrt(_dot(a, a, kind)) * F.sqrt(_dot(b, b, kind))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(F.try_divide(_dot(a, b, kind), norms))
+    return cosine_of(a, b, norm(a, kind) * norm(b, kind), kind)
 
 
 def literal(vector: list[float]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -330,15 +331,21 @@ def split_structural(df: DataFrame, variant: str = "GENERIC", markdown: str = "m
 # meaning
 
 
+@lru_cache(maxsize=1 << 16)
+def _slot(word: str, dim: int) -> tuple[int, float]:
+    """Where a word counts in a hashed vector, and as what."""
+    h = zlib.crc32(word.encode())
+    return h % dim, 1.0 if h >> 16 & 1 else -1.0
+
+
 def hashing_embedder(dim: int = 64) -> Callable[[str], list[float]]:
     """The offline default: signed hashed words, scaled to length one. A text without words gets zeros."""
-    import zlib
 
     def embed(text: str) -> list[float]:
         v = [0.0] * dim
         for w in re.findall(r"\w+", (text or "").lower()):
-            h = zlib.crc32(w.encode())
-            v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+            i, x = _slot(w, dim)
+            v[i] += x
         norm = sum(x * x for x in v) ** 0.5
         return [x / norm for x in v] if norm else v
 
@@ -388,8 +395,10 @@ def split_semantic(df: DataFrame, key: str, text: str = "markdown", embed: Calla
     long_ = df.filter(F.size("__p") >= 3).select(key, F.posexplode_outer(windows(F.col("__p"), config.window)).alias("i", "w")).filter(F.col("i").isNotNull())
     emb = long_.select(key, "i", embed_column(F.col("w"), embed).alias("e"))
     seq = Window.partitionBy(key).orderBy("i")
-    gap = emb.select(key, "i", (F.lit(1.0) - vectors.cosine_similarity(F.col("e"), F.lead("e").over(seq), "float")).alias("d")).filter(F.col("d").isNotNull())
-    per = gap.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "d"))).alias("__g")).select(key, F.transform("__g", lambda x: x["d"]).alias("__d"))
+    # a norm a window, and one product a pair: a filter on the distances would have all of it computed twice
+    pair = emb.withColumn("s", vectors.norm(F.col("e"), "float")).select(key, "i", "e", "s", F.lead(F.struct("e", "s")).over(seq).alias("n"))
+    gap = pair.select(key, F.when(F.col("n").isNotNull(), F.struct("i", (F.lit(1.0) - vectors.cosine_of(F.col("e"), F.col("n.e"), F.col("s") * F.col("n.s"), "float")).alias("d"))).alias("g"))
+    per = gap.groupBy(key).agg(F.array_sort(F.collect_list("g")).alias("__g")).select(key, F.transform("__g", lambda x: x["d"]).alias("__d"))
     df = df.join(per, key, "left").withColumn("__t", vectors.nearest_rank(F.col("__d"), config.percentile))
     grouped = tx.merge_short(group_at_breaks(F.col("__p"), F.col("__d"), F.col("__t")), config.min_chars)
     whole = F.when(F.size("__p") == 0, F.array().cast(STRINGS)).otherwise(F.array(F.array_join("__p", "\n\n")))

@@ -326,3 +326,11 @@ def test_rows_of_a_small_file_are_spread(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["c5_c6_recipes"](spark, entry.SMOKE_DIR).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_semantic_gaps_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "\n\n".join(["cats purr softly", "", "...", "dogs bark"] * 3))], "k int, markdown string")
+    out = chunking.split_semantic(df, "k", config=schema.Semantic(window=0, min_chars=5))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lead(") == 1 and plan.count("zip_with(") == 3  # a norm, a product, and the grouping
+    assert " ".join(out.first()["chunks"]).split() == ["cats", "purr", "softly", "...", "dogs", "bark"] * 3
